@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, phrase_index, secret_scan, simhash
+from . import licenses, phrase_index, secret_scan, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(_table(spark, sf_dir, "documents"), n_shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,5 +58,5 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scans, op6_simhash, op7_decontamination, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op3_license_scans, op4_sharding, op6_simhash, op7_decontamination, op9_secret_scans)}
 ORACLE = {"op7_decontamination": OP7_SQL}

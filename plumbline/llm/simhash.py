@@ -102,9 +102,9 @@ def links(distinct: DataFrame, cap: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, cap: int = 64) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) of each row of ``docs`` (doc_id, text).
+    """(doc_id, text_key, fp, part, component_id) of each row of ``docs`` (doc_id, text).
 
-    component_id is the smallest doc_id reachable over links of at most two
+    part is the component's smallest fingerprint, component_id the smallest doc_id reachable over links of at most two
     bits, the row itself included. Equal fingerprints are collapsed first, so
     exact copies and ties cost one posting, however many there are. Null or
     blank texts have fingerprint zero, linked like any other. Rows without a
@@ -117,8 +117,8 @@ def near_duplicates(docs: DataFrame, cap: int = 64) -> DataFrame:
     parts = connected_components(links(nodes, cap))
     labelled = nodes.join(parts, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("part"))
     least = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
-    by_print = labelled.join(least, "part").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "text_key", "fp", "component_id")
+    by_print = labelled.join(least, "part").select("fp", "part", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "text_key", "fp", "part", "component_id")
 
 
 def keep_representatives(docs: DataFrame, cap: int = 64) -> DataFrame:
@@ -127,9 +127,9 @@ def keep_representatives(docs: DataFrame, cap: int = 64) -> DataFrame:
     The row with the component's smallest doc_id stays (of several texts with
     that id, the one of the smallest hash; of repeated rows, one).
     """
-    rows = near_duplicates(docs, cap).groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("copies"), F.min("fp").alias("fp"))
-    whole = F.coalesce(F.col("component_id"), F.col("fp"))  # components without any id are told apart by a fingerprint
-    best = cut(rows.groupBy("component_id", F.when(F.col("component_id").isNull(), whole).alias("part")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "copies")).alias("kept")).select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_key").alias("_key"), F.col("kept.copies").alias("_copies")))
+    rows = near_duplicates(docs, cap).groupBy("part", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "copies")).alias("kept"))
+    best = cut(first.select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_key").alias("_key"), F.col("kept.copies").alias("_copies")))
     same = docs["doc_id"].eqNullSafe(best["_id"]) & (F.xxhash64(docs["text"]) == best["_key"])
     once = docs.join(best.where("_copies = 1"), same, "left_semi")
     if best.where("_copies > 1").isEmpty():
