@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, phrase_index, secret_scan, sharding, simhash
+from . import licenses, mixing, phrase_index, secret_scan, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,14 @@ from d left join h using (r) left join it using (r)
 """
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.plan(_table(spark, sf_dir, "documents"))
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scans, op4_sharding, op6_simhash, op7_decontamination, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op3_license_scans, op4_sharding, op6_simhash, op7_decontamination, op8_mixing, op9_secret_scans)}
 ORACLE = {"op7_decontamination": OP7_SQL}
