@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, phrase_index, secret_scan, sharding, simhash, topk
+from . import html_text, licenses, mixing, phrase_index, secret_scan, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,5 +79,9 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scans, op4_sharding, op5_exact_topk, op6_simhash, op7_decontamination, op8_mixing, op9_secret_scans)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_license_scans, op4_sharding, op5_exact_topk, op6_simhash, op7_decontamination, op8_mixing, op9_secret_scans, op10_html_extraction)}
 ORACLE = {"op5_exact_topk": OP5_SQL, "op7_decontamination": OP7_SQL}
