@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, licenses, mixing, phrase_index, secret_scan, sharding, simhash, topk, toxicity
+from . import html_text, licenses, mixing, phrase_index, secret_scan, sharding, simhash, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("worst_sentence")
 
@@ -87,5 +91,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_license_scans, op4_sharding, op5_exact_topk, op6_simhash, op7_decontamination, op8_mixing, op9_secret_scans, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_license_scans, op4_sharding, op5_exact_topk, op6_simhash, op7_decontamination, op8_mixing, op9_secret_scans, op10_html_extraction)}
 ORACLE = {"op5_exact_topk": OP5_SQL, "op7_decontamination": OP7_SQL}
