@@ -1,12 +1,62 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline over ``documents``: what is toxic, copied or leaked goes, the rest is mixed and sharded.
+
+Each stage takes (spark, docs, sf_dir). ``run`` writes what a stage returns as
+Parquet in the shared checkpoint folder and reads it again for the next one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None
+from plumbline.llm import mixing, phrase_index, sharding, simhash
+from plumbline.llm import toxicity as toxic_text
+from plumbline.plans.runtime import ensure_checkpoint_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity model, trained on ``labels``, doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxic_text.fit(toxic_text.training_rows(docs, labels))
+    return toxic_text.with_scores(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates: that of the smallest doc_id."""
+    return simhash.keep_representatives(docs)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of which passages of ``benchmark`` make up less than a twentieth."""
+    return phrase_index.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by target weights, as documents: one row for each pass that takes words of a document."""
+    return mixing.mixed_documents(docs)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of each row of the mix, in 40 byte-balanced shards; doc_id and checksum name the text."""
+    return sharding.shard(docs, n_shards=40, keep=("lang", "source", "n_chars"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_leaked),
+    ("mixing", mix_sources),
+    ("sharding", assign_shards),
+]
+ORACLE_SQL = None  # the learned model, the permuted draws and the differencing are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -103,8 +103,8 @@ def assign_groups(groups: DataFrame, n_shards: int, fan_in: int = FAN_IN) -> Dat
     return placed.select("k1", "k2", F.col("part").cast("int").alias("shard"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, k1, k2) of each row; equal texts have equal keys, null is a text of its own."""
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, k1, k2) of each row and its columns ``keep``; equal texts have equal keys, null is a text of its own."""
     text = F.col("text")
     return docs.select(
         "doc_id",
@@ -112,6 +112,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
         F.xxhash64(F.when(text.isNull(), F.lit(0)).otherwise(F.lit(1)), text).alias("k2"),
+        *keep,
     )
 
 
@@ -131,8 +132,8 @@ def slots(rows: DataFrame, lanes: int = 64) -> DataFrame:
     return numbered.join(offsets, ["shard", "lane"]).withColumn("slot", (F.col("offset") + F.col("within")).cast("long")).drop("lane", "offset", "within")
 
 
-def shard(docs: DataFrame, n_shards: int = 40, fan_in: int = FAN_IN) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of each row of ``docs`` (doc_id, text), in ``n_shards`` byte-balanced shards.
+def shard(docs: DataFrame, n_shards: int = 40, fan_in: int = FAN_IN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of each row of ``docs`` (doc_id, text), in ``n_shards`` byte-balanced shards, with its columns ``keep``.
 
     A row's size is the UTF-8 bytes of its text plus 16. Rows with equal texts
     share a shard; null texts are one group and count as no bytes, with the
@@ -140,7 +141,7 @@ def shard(docs: DataFrame, n_shards: int = 40, fan_in: int = FAN_IN) -> DataFram
     Repeated rows each get a slot; other columns are ignored; an empty table
     gives no rows. Shard numbers say nothing of size order.
     """
-    rows = cut(keyed(docs))
+    rows = cut(keyed(docs, keep))
     groups = cut(rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")))
     placed = assign_groups(groups, n_shards, fan_in)
-    return slots(rows.join(placed, ["k1", "k2"])).select("doc_id", "size", "text_crc32", "shard", "slot", "k1", "k2")
+    return slots(rows.join(placed, ["k1", "k2"])).select("doc_id", "size", "text_crc32", "shard", "slot", *keep)
