@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -20,3 +21,15 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: computed once, safe from lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a table that may be broadcast; callers broadcast rows of a few hundred bytes at most.
+BROADCAST_ROWS = 150_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join.
+
+    ``df`` is counted, so it should have been cut before.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
