@@ -82,7 +82,7 @@ def assign_groups(groups: DataFrame, n_shards: int, fan_in: int = FAN_IN) -> Dat
         return out
 
     dealt = groups.withColumn("bundle", F.pmod(F.xxhash64("k1", "k2", F.lit("bundle")), F.lit(bundles)))
-    leaves = cut(dealt.groupBy("bundle").applyInPandas(leaf, "k1 long, k2 long, bundle long, part long, sums array<long>"))
+    leaves = cut(dealt.repartition(max(1, bundles // 4), "bundle").groupBy("bundle").applyInPandas(leaf, "k1 long, k2 long, bundle long, part long, sums array<long>"))
     placed = leaves.select("k1", "k2", "bundle", "part")
     level = leaves.where("sums is not null").select(F.col("bundle").alias("node"), "sums")
     while bundles > 1:
