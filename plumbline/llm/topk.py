@@ -157,7 +157,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     packed = queries.withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(qblocks))).groupBy("qblock").applyInPandas(pack, _QUERIES)
     index = build_index(vectors, n).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)).cast("array<bigint>")))
-    met = index.join(packed, "qblock").repartition(F.col("block"), F.col("qblock")).drop("block", "qblock")
+    meetings = max(1, -(-n // BLOCK)) * qblocks
+    met = index.join(packed, "qblock").repartition(max(1, meetings // 4), "block", "qblock").drop("block", "qblock")
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
