@@ -155,8 +155,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with all columns, each repeated passage kept only at its first place; a text of nothing else becomes empty."""
-    cuts = passages(docs.select("doc_id", "text"), min_words).select("row", F.expr("transform(filter(spans, s -> not s.is_home), s -> struct(s.start, s.stop))").alias("_cuts")).where(F.size("_cuts") > 0)
-    met = docs.withColumn("_row", _row_key(docs)).join(cuts, F.col("_row") == F.col("row"), "left")
+    cuts = passages(docs.select("doc_id", "text"), min_words).select(F.col("row").alias("_cut_row"), F.expr("transform(filter(spans, s -> not s.is_home), s -> struct(s.start, s.stop))").alias("_cuts")).where(F.size("_cuts") > 0)
+    met = docs.withColumn("_row", _row_key(docs)).join(cuts, F.col("_row") == F.col("_cut_row"), "left")
     pieces = F.expr(
         """array_join(transform(sequence(0, size(_cuts)), i -> decode(substring(encode(text, 'UTF-8'),
         case when i = 0 then 1 else _cuts[i - 1].stop + 1 end,
