@@ -3,8 +3,8 @@
 A first pass scores the containers of every page: each gets the share of the
 page's running text that stands inside it, less the share of its own text that
 looks like furniture. Containers are named by generalised tag-class paths
-(``body>div.post-#>article``), and the scores are summed per host and path. The
-path with most votes wins its host, and a second pass extracts the text of each
+(``body>div.post-#>article``), and each page votes for its best path. The path
+with most votes wins its host, and a second pass extracts the text of each
 page from the nodes on the winning path; a page that has none, or keeps little
 of its running text there, is extracted from its own best container.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.plans.runtime import cut
+from plumbline.plans.runtime import broadcast_if_small, cut
 
 from .arrow import slices
 
@@ -207,12 +207,16 @@ def scores(page: Page) -> dict[str, float]:
     return found
 
 
+def best_path(own: dict[str, float]) -> str | None:
+    return max(own, key=lambda p: (own[p], p), default=None)
+
+
 def extract(page: Page, winner: str | None) -> str:
     """The text of the blocks under the winning path, or under the page's own best path where that keeps too little."""
     if not page.blocks:
         return ""
     own = scores(page)
-    best = max(own, key=lambda p: (own[p], p), default=None)
+    best = best_path(own)
 
     def under(path: str | None) -> tuple[list[str], float]:
         inside = [p == path for p in page.paths]
@@ -233,20 +237,26 @@ def _sources(batch: pa.RecordBatch) -> list[str]:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): each host's winning path; of paths with equal votes the last by name. ``pages``: (host, html)."""
+    """(host, path, votes): each host's winning path. ``pages``: (host, html).
+
+    A page votes for its best path; of paths with equal votes the one with the
+    larger sum of scores wins, of these the last by name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            hosts, paths, votes = [], [], []
+            rows = []
             for host, source in zip(batch.column("host").to_pylist(), _sources(batch)):
-                for path, score in scores(parse(source)).items():
-                    hosts.append(host)
-                    paths.append(path)
-                    votes.append(round(score * 1000))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], ["host", "path", "votes"])
+                own = scores(parse(source))
+                best = best_path(own)
+                rows += [(host, path, int(path == best), round(score * 1000)) for path, score in own.items()]
+            columns = zip(*rows) if rows else [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "vote", "score"])
 
-    votes = pages.select("host", "html").mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("won")).select("host", "won.path", "won.votes")
+    found = pages.select("host", "html").mapInArrow(run, "host string, path string, vote long, score long")
+    sums = found.groupBy("host", "path").agg(F.sum("vote").alias("votes"), F.sum("score").alias("score"))
+    return sums.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("won")).select("host", "won.path", "won.votes")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -259,7 +269,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     hosted = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit("")).alias("host"))
     winners = cut(host_paths(hosted)).select(F.col("host").alias("_host"), "path")
-    met = hosted.join(winners, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "path")
+    met = hosted.join(broadcast_if_small(winners), F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
