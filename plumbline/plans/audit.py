@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.paths import fingerprint
 from plumbline.operators import coupling, metrics, reach, rules, scoring
+from plumbline.plans.runtime import cut
 from plumbline.plans.settings import Settings
 from plumbline.sources.graph import Graph
 
@@ -25,6 +26,11 @@ class Audit:
     settings: Settings = field(default_factory=Settings)
     severity_is_final: bool = False
 
+    def held(self) -> Audit:
+        """The same audit with its tables computed and written to the checkpoint folder, for many questions to come."""
+        graph = Graph(cut(self.graph.modules), self.graph.deps)
+        return replace(self, graph=graph, edges=cut(self.edges), violations=cut(self.violations), coupling_metrics=cut(self.coupling_metrics), total_xs=cut(self.total_xs))
+
     def scores(self) -> DataFrame:
         """(snapshot_id, n_modules, severity_score, tri, tri_score, score)."""
         both = scoring.severity_score(self.violations, self.graph.modules).join(scoring.health(self.violations, self.graph.modules, self.settings.risk_weights), "snapshot_id")

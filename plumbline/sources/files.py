@@ -35,11 +35,16 @@ def source_tree(spark: SparkSession, root: str, settings: Settings | None = None
     settings = settings or Settings()
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1]
-    path = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
-    relative = F.substring(path, F.lit(len(base) + 2), F.length(path))
-    files = raw.select(F.url_decode(F.regexp_replace(relative, r"\+", "%2B")).alias("path"), "content").where(kept_by(settings))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return files.select("path", text.alias("text"), F.size(F.split("path", "/")).alias("depth"))
+
+    def relative(column: str):
+        plain = F.url_decode(F.regexp_replace(F.regexp_replace(F.col(column), r"^[a-z]+:/*", "/"), r"\+", "%2B"))
+        return F.substring(plain, F.lit(len(base) + 2), F.length(plain))
+
+    # the reader passes over empty files, so the listing (which the driver holds anyway) says what there is
+    listed = spark.createDataFrame([(x,) for x in raw.inputFiles()], "uri string").select(relative("uri").alias("path")).where(kept_by(settings))
+    read = raw.select(relative("path").alias("path"), "content")
+    text = F.when(F.col("content").isNull(), "").when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    return listed.join(read, "path", "left").select("path", text.alias("text"), F.size(F.split("path", "/")).alias("depth"))
 
 
 def append_snapshot(modules: DataFrame, dependencies: DataFrame, store: str) -> None:

@@ -80,8 +80,8 @@ def test_scan(spark):
 def test_source_tree(spark, tmp_path):
     from plumbline.sources import files
 
-    for name, data in {"src/a.kt": b"import b.C", "src/my file+1.kt": b"x", "build/b.kt": b"", "c.txt": b"", "bad.kt": b"\xff\xfe"}.items():
+    for name, data in {"src/a.kt": b"import b.C", "src/my file+1.kt": b"x", "build/b.kt": b"", "c.txt": b"", "bad.kt": b"\xff\xfe", "empty.kt": b""}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     found = {r.path: (r.text, r.depth) for r in files.source_tree(spark, str(tmp_path)).collect()}
-    assert found == {"src/a.kt": ("import b.C", 2), "src/my file+1.kt": ("x", 2), "bad.kt": (None, 1)}
+    assert found == {"src/a.kt": ("import b.C", 2), "src/my file+1.kt": ("x", 2), "bad.kt": (None, 1), "empty.kt": ("", 1)}
