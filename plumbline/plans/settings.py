@@ -10,7 +10,7 @@ from pathlib import Path
 #: Weight of each dependency direction. Fixed values.
 DIRECTION_WEIGHTS = {"downward": 2.0, "sibling": 4.0, "upward": 6.0, "external": 8.0, "transitive": 9.0, "circular": 10.0}
 #: What discovery skips, and the source extensions it keeps. Fixed values.
-IGNORED = ["**/node_modules/**", "**/target/**", "**/build/**", "**/dist/**", "**/.git/**", "**/vendor/**", "**/__pycache__/**", "**/.venv/**", "**/venv/**", "**/.idea/**", "**/.vscode/**", "**/.gradle/**", "**/out/**", "**/bin/**", "**/obj/**"]
+IGNORED = ["**/.git/**", "**/target/**", "**/node_modules/**", "**/.plumbline/**", "**/.agent/**", "**/build/**", "**/dist/**", "**/.gradle/**", "**/__pycache__/**", "**/.venv/**", "**/zig-cache/**", "**/zig-out/**", "**/generated/**", "**/.idea/**", "**/.vscode/**"]
 EXTENSIONS = ["kt", "kts", "java", "cs", "dart", "go", "hs", "js", "jsx", "ts", "tsx", "py", "rs", "swift", "zig", "php", "rb", "ex", "exs", "scala", "sc"]
 
 
@@ -96,15 +96,27 @@ class Settings:
 
     @classmethod
     def load(cls, path: str | Path) -> Settings:
-        """Settings from a JSON file; defaults if there is none."""
+        """Settings from a JSON file; defaults if there is none. A top-level coupling_mode overrides that of the thresholds."""
         if not Path(path).exists():
             return cls()
         raw = json.loads(Path(path).read_text())
-        kinds = {"dependency_rules": Rule, "layers": Layer, "modules": ModuleConfig}
-        known = {k: [kinds[k](**x) for x in v] if k in kinds else v for k, v in raw.items() if k in cls.__dataclass_fields__}
-        if "risk_weights" in known:
-            known["risk_weights"] = DIRECTION_WEIGHTS | known["risk_weights"]
+        limits = raw.get("thresholds", {})
+        known = {ours: limits[theirs] for ours, theirs in _THRESHOLDS.items() if theirs in limits}
+        for name in ("ignore_patterns", "source_extensions", "allow_inline_suppression", "coupling_mode"):
+            if raw.get(name) is not None:
+                known[name] = raw[name]
+        known["risk_weights"] = DIRECTION_WEIGHTS | raw.get("risk_weights", {})
+        known["dependency_rules"] = [Rule(x["from"], x["to"], x["allow"], x.get("message") or None) for x in raw.get("dependency_rules", [])]
+        known["layers"] = [Layer(**{k: v for k, v in x.items() if k in Layer.__dataclass_fields__}) for x in raw.get("layers", [])]
+        known["modules"] = [ModuleConfig(**x) for x in raw.get("modules", [])]
         return cls(**known)
 
     def save(self, path: str | Path) -> None:
-        Path(path).write_text(json.dumps(asdict(self), indent=2))
+        raw = asdict(self)
+        raw["thresholds"] = {theirs: raw.pop(ours) for ours, theirs in _THRESHOLDS.items()}
+        raw["dependency_rules"] = [{"from": r.source, "to": r.target, "allow": r.allow, "message": r.message or ""} for r in self.dependency_rules]
+        Path(path).write_text(json.dumps(raw, indent=2))
+
+
+#: Where the thresholds stand in the file.
+_THRESHOLDS = {"green_score": "score_green", "yellow_score": "score_yellow", "critical_severity": "critical_severity", "min_severity": "minimum_severity", "coupling_mode": "coupling_mode"}

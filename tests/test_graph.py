@@ -153,10 +153,10 @@ def test_layers_rules_and_modules(spark):
 
 
 def test_settings_round_trip(tmp_path):
-    s = Settings(layers=[Layer("a", "a/**")], coupling_mode="actionable")
+    s = Settings(layers=[Layer("a", "a/**")], dependency_rules=[Rule("a/**", "b/**", message="no")], modules=[ModuleConfig("m", "m")], coupling_mode="actionable")
     s.save(tmp_path / "s.json")
     assert Settings.load(tmp_path / "s.json") == s
-    (tmp_path / "part.json").write_text('{"min_severity": 0.5, "risk_weights": {"sibling": 1.0}}')
+    (tmp_path / "part.json").write_text('{"thresholds": {"minimum_severity": 0.5, "coupling_mode": "strict"}, "coupling_mode": "actionable", "risk_weights": {"sibling": 1.0}}')
     part = Settings.load(tmp_path / "part.json")
-    assert part.min_severity == 0.5 and part.risk_weights["circular"] == 10.0 and part.risk_weights["sibling"] == 1.0
+    assert part.min_severity == 0.5 and part.coupling_mode == "actionable" and part.risk_weights["circular"] == 10.0 and part.risk_weights["sibling"] == 1.0
     assert Settings.load(tmp_path / "none.json") == Settings()
