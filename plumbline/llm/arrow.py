@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,9 +31,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 start, held = i, 0
             held += size + 64
         yield batch.slice(start)
+    release()
 
 
 def word_table() -> bytes:
     """For ``bytes.translate``: A-Z become a-z; 0-9, a-z and bytes of non-ASCII letters stay; the rest become spaces."""
     keep = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
     return bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in keep else 0x20 for b in range(256))
+
+
+def release() -> None:
+    """Give memory that a finished partition held back to the system: Python workers live on, and share their machine with the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; there is nothing to trim
+        pass

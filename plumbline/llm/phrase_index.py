@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.plans.runtime import cut
+from plumbline.plans.runtime import broadcast_if_small, cut
 
 from .arrow import slices, texts, word_table
 
@@ -37,39 +37,46 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORDS).split()
 
 
+def index_segment(batch: pa.RecordBatch, kept: dict[bytes, int] | None) -> pa.RecordBatch:
+    """One index segment over the documents of ``batch`` (doc_id, text, text_key); with ``kept``, of these terms only."""
+    words = (b" " + _END + b" ").join(x.translate(_WORDS) for x in [*texts(batch, "text"), b""]).split()
+    codes = {t: i for i, t in enumerate(dict.fromkeys(words))} if kept is None else dict(kept)
+    codes[_END] = -2
+    ids = np.fromiter(map(codes.get, words, repeat(-1)), np.int32, len(words))
+    del words
+    stops = np.flatnonzero(ids == -2)
+    starts = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
+    known = np.flatnonzero(ids >= 0).astype(np.int32)
+    held = ids[known]
+    counts = np.bincount(held, minlength=len(codes))
+    order = np.argsort(held.astype(np.uint16) if len(codes) < 65_536 else held, kind="stable")
+    names = list(codes)
+    there = np.flatnonzero(counts)
+    columns = [
+        pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
+        pa.array([batch.column("text_key").to_pylist()], pa.list_(pa.int64())),
+        pa.array([starts], pa.list_(pa.int32())),
+        pa.array([stops - starts], pa.list_(pa.int32())),
+        pa.array([[names[i] for i in there]], pa.list_(pa.binary())),
+        pa.array([np.cumsum(counts[there])], pa.list_(pa.int32())),
+        pa.array([known[order].tobytes()], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in INDEX_SCHEMA.split(", ")])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+
+
 def build_index(docs: DataFrame, terms: set[bytes] | None = None) -> DataFrame:
     """Index segments over ``docs`` (doc_id, text); with ``terms``, only their lists are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None if terms is None else {t: i for i, t in enumerate(sorted(terms))}
         for batch in slices(batches, "text", 4 << 20):
-            words = (b" " + _END + b" ").join(x.translate(_WORDS) for x in [*texts(batch, "text"), b""]).split()
-            codes = {t: i for i, t in enumerate(dict.fromkeys(words))} if kept is None else dict(kept)
-            codes[_END] = -2
-            ids = np.fromiter(map(codes.get, words, repeat(-1)), np.int32, len(words))
-            del words
-            stops = np.flatnonzero(ids == -2)
-            starts = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
-            known = np.flatnonzero(ids >= 0).astype(np.int32)
-            held = ids[known]
-            counts = np.bincount(held, minlength=len(codes))
-            order = np.argsort(held.astype(np.uint16) if len(codes) < 65_536 else held, kind="stable")
-            names = list(codes)
-            there = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([batch.column("text_key").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([starts], pa.list_(pa.int32())),
-                    pa.array([stops - starts], pa.list_(pa.int32())),
-                    pa.array([[names[i] for i in there]], pa.list_(pa.binary())),
-                    pa.array([np.cumsum(counts[there])], pa.list_(pa.int32())),
-                    pa.array([known[order].tobytes()], pa.binary()),
-                ],
-                [x.split()[0] for x in INDEX_SCHEMA.split(", ")],
-            )
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, INDEX_SCHEMA)
+            yield index_segment(batch, kept)
+
+    return _keyed(docs).mapInArrow(run, INDEX_SCHEMA)
 
 
 class _Windows:
@@ -140,66 +147,84 @@ RESULT_SCHEMA = "doc_id long, text_key long, ordinal int, n_words long, hits arr
 _HITS = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32())]))
 
 
+def search_segment(batch: pa.RecordBatch, row: int, windows: _Windows, items: list[tuple[str, list[bytes]]], proximity: tuple[int, int] | None) -> pa.RecordBatch:
+    """The documents of one segment (a row of ``batch``) with what they hold of ``items``; see ``RESULT_SCHEMA``."""
+
+    def get(column: str) -> pa.Scalar:
+        return batch.column(column)[row]
+
+    def numbers(column: str) -> np.ndarray:
+        return get(column).values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    starts, sizes, ends = numbers("starts"), numbers("n_words"), numbers("ends")
+    positions = np.frombuffer(get("positions").as_py(), np.int32)
+    terms = get("terms").as_py()
+    counts, first = np.diff(ends, prepend=0), np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    slot = {t: i for i, t in enumerate(terms)}
+    slots = np.fromiter(map(slot.get, windows.words, repeat(-1)), np.int64, len(windows.words))
+    stream = int(starts[-1] + sizes[-1] + 1) if len(starts) else 0
+    at = np.full(stream, -1, np.int32)
+    at[positions] = np.repeat(np.arange(len(terms), dtype=np.int32), counts)
+    window = begin = np.empty(0, np.int64)
+    if len(terms) and len(windows.places):
+        window, begin = _phrases(windows, slots, counts, first, positions, at)
+    hits: list[list] = [[] for _ in starts]
+    items_of: list[list[str]] = [[] for _ in starts]
+    near_of: list[list[str]] = [[] for _ in starts]
+    if len(begin):
+        edge = np.zeros(stream + 1, np.int32)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + windows.lengths[window], -1)
+        inside = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
+        for s, e in np.flatnonzero(np.diff(inside)).reshape(-1, 2):
+            d = int(np.searchsorted(starts, s, "right")) - 1
+            hits[d].append({"first_word": int(s - starts[d]), "end_word": int(e - starts[d])})
+        for d, k in np.unique(np.stack([np.searchsorted(starts, begin, "right") - 1, windows.owner[window]], 1), axis=0):
+            items_of[d].append(windows.names[k])
+    if proximity:
+        lists = {t: positions[first[i] : ends[i]] for t, i in slot.items()}
+        for name, words in items:
+            for d in _near(words, lists, starts, starts + sizes, *proximity):
+                near_of[d].append(name)
+    columns = [get("doc_ids").values, get("text_keys").values, pa.array(np.arange(len(starts), dtype=np.int32)), pa.array(sizes), pa.array(hits, _HITS), pa.array([sorted(set(x)) for x in items_of], pa.list_(pa.string())), pa.array([sorted(set(x)) for x in near_of], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RESULT_SCHEMA.split(", ")])
+
+
 def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int = WINDOW, proximity: tuple[int, int] | None = None) -> DataFrame:
     """For each indexed document: word ranges inside occurrences of items' windows, those items, and items near.
 
     ``items``: (id, words), a bounded block. ``proximity``: (terms, span) reports
     as near the items whose so many rarest words all stand within so many words.
+    A column ``segment`` of the index is carried along.
     """
     sent = index.sparkSession.sparkContext.broadcast(items)
     extra = [c for c in index.columns if c == "segment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = _Windows(sent.value, width)
+        windows = _Windows(sent.value, width)
         for batch in batches:
             for row in range(batch.num_rows):
-                get = lambda c: batch.column(c)[row]  # noqa: B023, E731
-                starts = get("starts").values.to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = get("n_words").values.to_numpy(zero_copy_only=False).astype(np.int64)
-                ends = get("ends").values.to_numpy(zero_copy_only=False).astype(np.int64)
-                positions = np.frombuffer(get("positions").as_py(), np.int32)
-                terms = get("terms").as_py()
-                counts, first = np.diff(ends, prepend=0), np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                slot = {t: i for i, t in enumerate(terms)}
-                slots = np.fromiter(map(slot.get, w.words, repeat(-1)), np.int64, len(w.words))
-                stream = int(starts[-1] + sizes[-1] + 1) if len(starts) else 0
-                at = np.full(stream, -1, np.int32)
-                at[positions] = np.repeat(np.arange(len(terms), dtype=np.int32), counts)
-                if len(terms) and len(w.places):
-                    window, begin = _phrases(w, slots, counts, first, positions, at)
-                else:
-                    window = begin = np.empty(0, np.int64)
-                hits: list[list] = [[] for _ in starts]
-                items_of: list[list[str]] = [[] for _ in starts]
-                near_of: list[list[str]] = [[] for _ in starts]
-                if len(begin):
-                    edge = np.zeros(stream + 1, np.int32)
-                    np.add.at(edge, begin, 1)
-                    np.add.at(edge, begin + w.lengths[window], -1)
-                    inside = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
-                    turns = np.flatnonzero(np.diff(inside))
-                    for s, e in turns.reshape(-1, 2):
-                        d = int(np.searchsorted(starts, s, "right")) - 1
-                        hits[d].append({"first_word": int(s - starts[d]), "end_word": int(e - starts[d])})
-                    pairs = np.unique(np.stack([np.searchsorted(starts, begin, "right") - 1, w.owner[window]], 1), axis=0)
-                    for d, k in pairs:
-                        items_of[d].append(w.names[k])
-                if proximity:
-                    lists = {t: positions[first[i] : ends[i]] for t, i in slot.items()}
-                    for name, words in sent.value:
-                        for d in _near(words, lists, starts, starts + sizes, *proximity):
-                            near_of[d].append(name)
-                n = len(starts)
-                columns = [get("doc_ids").values, get("text_keys").values, pa.array(np.arange(n, dtype=np.int32)), pa.array(sizes), pa.array(hits, _HITS), pa.array([sorted(set(x)) for x in items_of], pa.list_(pa.string())), pa.array([sorted(set(x)) for x in near_of], pa.list_(pa.string()))]
-                names = [x.split()[0] for x in RESULT_SCHEMA.split(", ")]
+                found = search_segment(batch, row, windows, sent.value, proximity)
                 for c in extra:
-                    columns.append(pa.array([get(c).as_py()] * n, pa.int64()))
-                    names.append(c)
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    found = found.append_column(c, pa.array([batch.column(c)[row].as_py()] * found.num_rows, pa.int64()))
+                yield found
 
     return index.mapInArrow(run, RESULT_SCHEMA + "".join(f", {c} long" for c in extra))
 
 
+def index_and_search(docs: DataFrame, items: list[tuple[str, list[bytes]]], width: int = WINDOW, proximity: tuple[int, int] | None = None) -> DataFrame:
+    """``search`` over ``build_index`` of the items' terms, with each segment searched by the worker that built it."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _Windows(sent.value, width)
+        kept = {t: i for i, t in enumerate(sorted({t for _, ws in sent.value for t in ws}))}
+        for batch in slices(batches, "text", 4 << 20):
+            yield search_segment(index_segment(batch, kept), 0, windows, sent.value, proximity)
+
+    return _keyed(docs).mapInArrow(run, RESULT_SCHEMA)
+
+
 def item_blocks(bench: DataFrame, limit: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items of ``bench`` (item_id, text) in blocks of about ``limit`` bytes; those without an id or a word take no part."""
     block, held = [], 0
@@ -228,7 +253,7 @@ def find_items(docs: DataFrame, bench: DataFrame, width: int = WINDOW, proximity
     head = next(blocks, [])
     second = next(blocks, None)
     if second is None:
-        return search(build_index(docs, {t for _, ws in head for t in ws}), head, width, proximity)
+        return index_and_search(docs, head, width, proximity)
     index = cut(build_index(docs).withColumn("segment", F.monotonically_increasing_id()))
     found = search(index, head, width, proximity).unionByName(search(index, second, width, proximity))
     for block in blocks:
@@ -256,7 +281,7 @@ def contamination(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all of their columns."""
-    bad = contamination(docs, bench, **how).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+    bad = cut(contamination(docs, bench, **how).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct())
     same = docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_key"])
-    return docs.join(bad, same, "left_anti")
+    return docs.join(broadcast_if_small(bad), same, "left_anti")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.plans.runtime import cut
+from plumbline.plans.runtime import broadcast_if_small, cut
 
 from .arrow import slices, texts
 from .components import connected_components
@@ -127,12 +127,14 @@ def keep_representatives(docs: DataFrame, cap: int = 64) -> DataFrame:
     The row with the component's smallest doc_id stays (of several texts with
     that id, the one of the smallest hash; of repeated rows, one).
     """
-    rows = near_duplicates(docs, cap).groupBy("part", "doc_id", "text_key").agg(F.count("*").alias("copies"))
-    first = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "copies")).alias("kept"))
-    best = cut(first.select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_key").alias("_key"), F.col("kept.copies").alias("_copies")))
-    same = docs["doc_id"].eqNullSafe(best["_id"]) & (F.xxhash64(docs["text"]) == best["_key"])
-    once = docs.join(best.where("_copies = 1"), same, "left_semi")
-    if best.where("_copies > 1").isEmpty():
+    rows = cut(near_duplicates(docs, cap).groupBy("part", "doc_id", "text_key").agg(F.count("*").alias("copies")))
+    first = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("kept"))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key"))
+    judged = cut(rows.join(first, "part").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (is_kept & (F.col("copies") == 1)).alias("_once"), is_kept.alias("_kept")))
+    same = docs["doc_id"].eqNullSafe(judged["_id"]) & (F.xxhash64(docs["text"]) == judged["_key"])
+    once = docs.join(broadcast_if_small(judged.where("not _once")), same, "left_anti")
+    repeated = judged.where("_kept and not _once")
+    if repeated.isEmpty():
         return once
-    more = docs.join(best.where("_copies > 1"), same, "left_semi")
+    more = docs.join(broadcast_if_small(repeated), same, "left_semi")
     return once.unionByName(more.dropDuplicates(["doc_id", "text"]))

@@ -16,6 +16,7 @@ many words are on the toxic side, and its length.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,16 +29,20 @@ from pyspark.sql import functions as F
 from .arrow import slices
 
 #: Labelled rows that training may use, of each label; the rows of smallest hash are taken.
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 1500
 #: Landmarks; length of subsequences; weight of each character spanned; kernel values below the floor count as none.
-LANDMARKS, ORDER, DECAY, FLOOR = 48, 3, 0.7, 0.35
+LANDMARKS, ORDER, DECAY, FLOOR = 48, 3, 0.7, 0.45
 #: Evidence that a landmark needs: the likelihood ratio statistic of its share of the words of toxic and of clean rows,
 #: at least so much and at least this part of the best one's; and how many times the share has to be.
 EVIDENCE, PART, RATIO = 40.0, 0.03, 3.0
+#: A longer string takes the place of one inside it that has so little more evidence.
+CLOSE = 0.7
+#: A sentence of a toxic row that comes so close to a landmark is a positive example from the start.
+PLAIN = 0.9
 #: Words longer than this are looked at in overlapping windows.
 LONGEST = 24
 #: Distinct words a task remembers at a time; what is forgotten is computed again.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
@@ -179,25 +184,30 @@ def document_features(margins: dict[str, float], words: list[str], least: float)
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], n: int = LANDMARKS) -> list[str]:
     """Strings of four to eight characters (marks of word ends included) that tell the words of toxic rows from those of clean ones.
 
-    Candidates that no clean row holds come first, then by likelihood ratio, of equal ones the longest. One
+    Candidates that no clean row holds and that begin a word come first, then by likelihood ratio, of equal ones the longest; a longer string with nearly the evidence replaces a shorter one. One
     is passed over if most of the words that it stands in hold a chosen one.
     """
-    counts = [Counter(w for d in docs for w in d) for docs in (toxic, clean)]
-    pieces = sorted({(p, w) for c in counts for w in c for p in _pieces(w)})
+    counts: list[Counter[str]] = [Counter(), Counter()]
+    for c, docs in zip(counts, (toxic, clean)):
+        for d in docs:
+            c.update(p for w in d for p in _pieces(w))
+    pieces = sorted(counts[0].keys() | counts[1].keys())
     if not pieces:
         return []
-    weight = np.array([[c[w] for _, w in pieces] for c in counts], float)
-    lengths = np.fromiter((len(p) for p, _ in pieces), np.int64, len(pieces))
-    flat = np.frombuffer("".join(p for p, _ in pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    weight = np.array([np.fromiter((c[p] for p in pieces), float, len(pieces)) for c in counts])
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    flat = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+    del counts
     owner, last = np.repeat(np.arange(len(pieces)), lengths), np.repeat(np.cumsum(lengths), lengths)
     total = weight.sum(1)
-    candidates: list[tuple[bool, float, int, str]] = []
+    candidates: list[tuple[int, float, int, str]] = []
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for k in range(4, 9):
         at = np.flatnonzero(np.arange(len(flat)) + k <= last)
         code = np.zeros(len(at), np.uint64)
         for j in range(k):
-            code = code * np.uint64(0x9E3779B97F4A7C15) + flat[at + j]
+            code *= np.uint64(0x9E3779B97F4A7C15)
+            code += flat[at + j]
         _, first, group = np.unique(code, return_index=True, return_inverse=True)
         a, c = (np.bincount(group, w[owner[at]]) for w in weight)
         share = (a + c) / total.sum()
@@ -211,7 +221,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], n: int = LAND
             members = owner[at[by_group[(ends[g - 1] if g else 0) : ends[g]]]]
             start = at[first[g]]
             text = "".join(map(chr, flat[start : start + k].tolist()))
-            candidates.append((bool(c[g] == 0), round(float(ratio[g]), 3), k, text))
+            candidates.append((bool(c[g] == 0) + (text[0] == "^"), round(float(ratio[g]), 3), k, text))
             held[text] = (members, weight[0][members])
     chosen: list[str] = []
     explained = np.zeros(len(pieces), bool)
@@ -221,6 +231,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], n: int = LAND
             break
         if evidence < least:
             continue
+        g = max((x for x in candidates if g in x[3] and x[1] >= CLOSE * evidence), key=lambda x: (x[2], x[1]))[3]
         members, weights = held[g]
         if weights[explained[members]].sum() < 0.5 * weights.sum():
             chosen.append(g)
@@ -247,7 +258,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     """A model from (text, toxic) rows; without both labels, or without a telling string, it scores the toxic share."""
     share = (sum(t for _, t in rows) + 0.5) / (len(rows) + 1) if rows else 0.01
     flat = Model([], np.zeros((0, 0)), np.zeros(0), 0.0, np.array([0.0] * 5 + [min(-0.1, float(np.log(share / (1 - share))))]))
-    sentences = [[words_of(s) for s in _SENTENCE.split(text)] for text, _ in rows]
+    sentences = [[[sys.intern(w) for w in words_of(s)] for s in _SENTENCE.split(text)] for text, _ in rows]
     toxic = np.array([t for _, t in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return flat
@@ -256,7 +267,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if not landmarks:
         return flat
     features = Features(landmarks)
-    known = features.of(list(set().union(*bags)))
+    known = features.of(sorted(set().union(*bags)))
+    del bags
     gram = np.array([kernel(landmarks, z) for z in landmarks])
     gram /= np.sqrt(np.outer(np.diag(gram), np.diag(gram)))
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -273,7 +285,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     first = np.searchsorted(owner, np.arange(len(rows)))
     for turn in range(4):
         top = np.maximum.reduceat(margin, first)
-        positive = toxic[owner] & ((margin >= top[owner]) | (margin > 0) & (turn > 0)) & (x.any(1))
+        positive = toxic[owner] & ((margin >= top[owner]) | (margin > 0) & (turn > 0) | (x.max(1) >= PLAIN)) & x.any(1)
         negative = ~toxic[owner]
         used = positive | negative
         y = np.where(positive, 1.0, -1.0)[used]
@@ -323,7 +335,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
         features = Features(model.landmarks)
         seen: set[str] = set()
         near: dict[str, float] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             rows = [x or "" for x in batch.column("text").to_pylist()]
             words = [words_of(text) for text in rows]
             if len(seen) > REMEMBERED:
