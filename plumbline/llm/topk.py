@@ -155,10 +155,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 q, v, score, _ = best(ids, matrix, index, qids, queries, k)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[v]), pa.array(score)], ["query_id", "vec_id", "score"])
 
+    # query blocks are small and travel to the index blocks, which are dealt out once
+    blocks = max(1, -(-n // BLOCK))
     packed = queries.withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(qblocks))).groupBy("qblock").applyInPandas(pack, _QUERIES)
-    index = build_index(vectors, n).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)).cast("array<bigint>")))
-    meetings = max(1, -(-n // BLOCK)) * qblocks
-    met = index.join(packed, "qblock").repartition(max(1, meetings // 4), "block", "qblock").drop("block", "qblock")
+    sent = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    met = build_index(vectors, n).repartition(min(blocks, 20_000), "block").join(sent.hint("shuffle_hash"), "block").drop("block", "qblock")
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
