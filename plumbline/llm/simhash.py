@@ -129,8 +129,11 @@ def keep_representatives(docs: DataFrame, cap: int = 64) -> DataFrame:
     """
     rows = cut(near_duplicates(docs, cap).groupBy("part", "doc_id", "text_key").agg(F.count("*").alias("copies")))
     first = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("kept"))
-    is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key"))
-    judged = cut(rows.join(first, "part").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (is_kept & (F.col("copies") == 1)).alias("_once"), is_kept.alias("_kept")))
+    best = first.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_key").alias("_kept_key"))
+    # found again by id and text, not by component, of which one may be large
+    met = rows.join(best, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("text_key") == F.col("_kept_key")), "left")
+    is_kept = F.col("_kept_key").isNotNull()
+    judged = cut(met.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (is_kept & (F.col("copies") == 1)).alias("_once"), is_kept.alias("_kept")))
     same = docs["doc_id"].eqNullSafe(judged["_id"]) & (F.xxhash64(docs["text"]) == judged["_key"])
     once = docs.join(broadcast_if_small(judged.where("not _once")), same, "left_anti")
     repeated = judged.where("_kept and not _once")
