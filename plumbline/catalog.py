@@ -86,7 +86,7 @@ def _longs(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})  # no negative zero
 
 
 @query(_sql_graph() + """
@@ -357,7 +357,7 @@ def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql_graph(by_year=True, thin=20) + _BY_MODULE + """
 , x as (select snapshot_id, row_number() over (order by snapshot_id) - 1 as x from n_mods)
-select module, round(coalesce(regr_slope(score, x), 0.0e0), 6) as slope, cast(count(*) as bigint) as points from ms join x using (snapshot_id) group by module""")
+select module, round(coalesce(regr_slope(score, x), 0.0e0), 6) + 0.0e0 as slope, cast(count(*) as bigint) as points from ms join x using (snapshot_id) group by module""")
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, v = _raw(spark, sf_dir, by_year=True, thin=20)
     return _rounded(history.trajectories(history.module_scores(v, g.modules), g.modules), "slope")
