@@ -72,9 +72,9 @@ def _load(spark: SparkSession, sf_dir: str, **how) -> graphs.Graph:
     return graphs.load(spark, sf_dir, **how)
 
 
-def _raw(spark: SparkSession, sf_dir: str, **how) -> tuple[graphs.Graph, DataFrame]:
+def _raw(spark: SparkSession, sf_dir: str, with_long_cycles: bool = False, **how) -> tuple[graphs.Graph, DataFrame]:
     g = _load(spark, sf_dir, **how)
-    return g, audits.raw_violations(g, with_long_cycles=False)
+    return g, audits.raw_violations(g, with_long_cycles=with_long_cycles)
 
 
 def _audit(spark: SparkSession, sf_dir: str, settings: Settings | None = None, **how) -> audits.Audit:
@@ -120,7 +120,7 @@ def mutual_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def n_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = coupling.sibling_pairs(_load(spark, sf_dir, by_year=True, thin=20).edges())
+    pairs = coupling.sibling_pairs(_load(spark, sf_dir, by_year=True).edges())
     return coupling.long_cycles(pairs).select("snapshot_id", "parent", F.array_join("cycle_path", ">").alias("cycle_path"), F.expr("aggregate(cycle_hop_counts, 0L, (a, x) -> a + x)").alias("imports"))
 
 
@@ -180,6 +180,13 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.blast_radius(g.edges(), g.modules)
 
 
+@query()
+def blast_radius_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``blast_radius`` over all orders."""
+    g = _load(spark, sf_dir, by_year=True)
+    return reach.blast_radius(g.edges(), g.modules)
+
+
 @query(_sql_graph(by_year=True, thin=50, acyclic=True) + """
 , step as (select distinct snapshot_id, fp, tp from edges),
 chain as (select snapshot_id, fp, tp, 1 as d from step union select c.snapshot_id, c.fp, s.tp, d + 1 from chain c join step s on c.snapshot_id = s.snapshot_id and c.tp = s.fp)
@@ -335,6 +342,13 @@ def trend_by_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(history.module_trend(history.module_scores(v, g.modules)), "score")
 
 
+@query()
+def trend_by_module_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``trend_by_module`` over all orders."""
+    g, v = _raw(spark, sf_dir, with_long_cycles=True, by_year=True)
+    return _rounded(history.module_trend(history.module_scores(v, g.modules)), "score")
+
+
 @query(_sql_graph(by_year=True) + """
 select c.from_module, c.to_module, cast(count(h.snapshot_id) as bigint) as seen_in, case when count(h.snapshot_id) = 0 then 'new' when count(h.snapshot_id) < 5 then 'recent' else 'chronic' end as age
 from (select distinct from_module, to_module from risk where snapshot_id = '2000') c left join (select distinct snapshot_id, from_module, to_module from viol where snapshot_id <> '2000') h using (from_module, to_module) group by all""")
@@ -363,6 +377,13 @@ def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(history.trajectories(history.module_scores(v, g.modules), g.modules), "slope")
 
 
+@query()
+def trajectory_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``trajectory`` over all orders."""
+    g, v = _raw(spark, sf_dir, with_long_cycles=True, by_year=True)
+    return _rounded(history.trajectories(history.module_scores(v, g.modules), g.modules), "slope")
+
+
 @query(_sql_graph(by_year=True, thin=50) + _RADIUS + """
 , head as (select path, blast_radius from radius where snapshot_id = '2000' order by blast_radius desc, path limit 5)
 select path, h.blast_radius, p.blast_radius as previous, case when p.path is null then 'new' when h.blast_radius > p.blast_radius then 'rising' when h.blast_radius < p.blast_radius then 'falling' else 'stable' end as movement
@@ -372,6 +393,12 @@ def risk_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.concentration(reach.blast_radius(g.edges(), g.modules), "2000", "1999")
 
 
+@query()
+def risk_concentration_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``risk_concentration`` over all orders."""
+    return history.concentration(blast_radius_whole(spark, sf_dir), "2000", "1999")
+
+
 @query(_sql_graph(by_year=True) + _YEARLY + """
 , e as (select arg_min(score, snapshot_id) as a, arg_max(score, snapshot_id) as b, count(*) as n from score)
 select round(a, 6) as first_score, round(b, 6) as last_score, cast(n as bigint) as snapshots, round(b - a, 6) as change, case when b - a > 0.5 then 'improving' when b - a < -0.5 then 'degrading' else 'stable' end as direction from e""")

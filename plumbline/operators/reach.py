@@ -8,9 +8,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.coupling import strong_components
 from plumbline.plans.runtime import cut
 
 
+#: Components that are followed at once, as the bits of one number.
+BLOCK = 4096
+
+
+def reaching(users: dict[str, list[str]]) -> dict[str, int]:
+    """How many others reach each node over ``users``.
+
+    Nodes of one strong component have the same answer. Components come users
+    first, so one pass over them hands on which components of a block, all of
+    one size, lie above each.
+    """
+    parts = strong_components(users)
+    at = {n: i for i, part in enumerate(parts) for n in part}
+    above = [{at[u] for n in part for u in users[n]} - {i} for i, part in enumerate(parts)]
+    total = [len(part) - 1 for part in parts]
+    by_size: dict[int, list[int]] = {}
+    for i, part in enumerate(parts):
+        by_size.setdefault(len(part), []).append(i)
+    for size, group in by_size.items():
+        for first in range(0, len(group), BLOCK):
+            bit = {c: 1 << k for k, c in enumerate(group[first : first + BLOCK])}
+            seen = [0] * len(parts)
+            for c in range(group[first], len(parts)):
+                for u in above[c]:
+                    seen[c] |= seen[u]
+                total[c] += size * seen[c].bit_count()
+                seen[c] |= bit.get(c, 0)
+    return {n: total[i] for n, i in at.items()}
+
+
 def blast_radius(edges: DataFrame, modules: DataFrame, group_rows: int = 2_000_000) -> DataFrame:
     """(snapshot_id, path, blast_radius): how many other modules reach each one over imports.
 
@@ -25,15 +56,8 @@ def blast_radius(edges: DataFrame, modules: DataFrame, group_rows: int = 2_000_0
         users: dict[str, list[str]] = {}
         for a, b in zip(pdf["from_path"], pdf["to_path"]):
             users.setdefault(b, []).append(a)
-        out = []
-        for start in users:
-            seen, todo = {start}, [start]
-            while todo:
-                for n in users.get(todo.pop(), ()):
-                    if n not in seen:
-                        seen.add(n)
-                        todo.append(n)
-            out.append((pdf["snapshot_id"].iloc[0], start, len(seen) - 1))
+            users.setdefault(a, [])
+        out = [(pdf["snapshot_id"].iloc[0], n, r) for n, r in reaching(users).items()]
         return pd.DataFrame(out, columns=["snapshot_id", "path", "blast_radius"])
 
     found = small.groupBy("snapshot_id").applyInPandas(count, "snapshot_id string, path string, blast_radius long")
