@@ -2,11 +2,15 @@
 
 A gear rolling hash runs over a text's UTF-8 bytes; the hash of a place depends
 on the ``WINDOW`` bytes before it alone. A chunk ends where the hash is the
-strict maximum among ``REACH`` places on either side, so chunks have at least
-``REACH`` bytes, boundaries depend on nearby content only, and an insertion
-moves no boundary beyond its neighbourhood. Chunks are compared by 128-bit
-digest. A run of neighbouring chunks that all stand earlier in the corpus, with
-``MIN_WORDS`` words or more, is a repeated passage.
+maximum among ``REACH`` places on either side, so boundaries depend on nearby
+content only, and an insertion moves no boundary beyond its neighbourhood. In
+text with a short period the maxima are equal, once a period; of these, the
+ones ``REACH`` bytes apart or more are taken from the left. They are whole
+periods apart, so chunks within such a stretch are alike wherever it begins and
+however long it is. Chunks have about ``REACH`` bytes at least, and an end inside
+a character moves behind it. Chunks are compared by 128-bit digest. A run of
+neighbouring chunks that all stand earlier in the corpus, with ``MIN_WORDS``
+words or more, is a repeated passage.
 """
 
 from __future__ import annotations
@@ -58,9 +62,16 @@ def boundaries(data: np.ndarray, window: int = WINDOW, reach: int = REACH) -> np
     if n <= 2 * reach:
         return np.full(min(n, 1), n, np.int64)
     h = gear_hashes(data, window)
-    peak = (h > _ahead(h, reach)) & (h > _ahead(h[::-1], reach)[::-1])
+    peak = (h >= _ahead(h, reach)) & (h >= _ahead(h[::-1], reach)[::-1])
     peak[:reach] = peak[max(0, n - reach) :] = False
-    return np.append(np.flatnonzero(peak) + 1, n)
+    ends = np.flatnonzero(peak) + 1
+    if (np.diff(ends) < reach).any():  # equal maxima close together: keep those that are ``reach`` apart
+        kept = [-reach]
+        for end in ends.tolist():
+            if end - kept[-1] >= reach:
+                kept.append(end)
+        ends = np.array(kept[1:], np.int64)
+    return np.append(ends, n)
 
 
 CHUNKS = "row long, doc_id long, nth int, start int, stop int, first_word int, end_word int, hi long, lo long"
@@ -83,7 +94,8 @@ def chunks(docs: DataFrame) -> DataFrame:
                 stop = boundaries(data)
                 if not len(stop):
                     continue
-                stop = stop[np.append((data[stop[:-1]] & 0xC0) != 0x80, True)]  # no end inside a character
+                for _ in range(3):  # no end inside a character
+                    stop[:-1] += (data[stop[:-1]] & 0xC0) == 0x80
                 start = np.append(0, stop[:-1])
                 white = space[data]
                 begins = np.cumsum(~white & np.append(True, white[:-1]))

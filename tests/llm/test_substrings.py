@@ -58,3 +58,15 @@ def test_awkward_tables(spark):
     assert substrings.repeats(empty(spark)).count() == 0
     rows = substrings.repeats(awkward(spark)).collect()
     assert len(rows) == 10 and substrings.deduplicated(awkward(spark)).count() == 10
+
+
+def test_repeats_of_a_short_period_are_found(spark):
+    rng = random.Random(4)
+    units = ["der ", "Of Of ", "hello,\n", "да ", "привет! "]
+    texts = [(10 * k + i, f"{words(rng, 40 + 7 * i)} {unit * n} {words(rng, 30)}") for k, unit in enumerate(units) for i, n in enumerate((60, 75))]
+    texts.append((99, words(rng, 300)))
+    rows = {r.doc_id: r for r in substrings.repeats(documents(spark, texts)).collect()}
+    assert {i for i, r in rows.items() if r.n_spans} == {i for i, _ in texts} - {99}
+    cleaned = {r.doc_id: r.text for r in substrings.deduplicated(documents(spark, texts)).collect()}
+    for i, text in texts:
+        assert cleaned[i].split()[:40] == text.split()[:40] and cleaned[i].split()[-30:] == text.split()[-30:]
