@@ -1,7 +1,7 @@
 """Named queries over the benchmark tables, and the same in DuckDB SQL.
 
-History queries compare yearly snapshots by sibling pairs and mutual cycles;
-longer loops, which SQL can't follow, have a query of their own.
+Yearly queries with SQL compare snapshots by sibling pairs and mutual cycles;
+their namesakes in ``_whole`` have all orders and longer loops, without SQL.
 """
 
 from __future__ import annotations
@@ -72,13 +72,13 @@ def _load(spark: SparkSession, sf_dir: str, **how) -> graphs.Graph:
     return graphs.load(spark, sf_dir, **how)
 
 
-def _raw(spark: SparkSession, sf_dir: str, with_long_cycles: bool = False, **how) -> tuple[graphs.Graph, DataFrame]:
+def _raw(spark: SparkSession, sf_dir: str, with_long_cycles: bool = True, **how) -> tuple[graphs.Graph, DataFrame]:
     g = _load(spark, sf_dir, **how)
     return g, audits.raw_violations(g, with_long_cycles=with_long_cycles)
 
 
-def _audit(spark: SparkSession, sf_dir: str, settings: Settings | None = None, **how) -> audits.Audit:
-    return audits.audit(_load(spark, sf_dir, **how), settings, with_long_cycles=False)
+def _audit(spark: SparkSession, sf_dir: str, settings: Settings | None = None, with_long_cycles: bool = True, **how) -> audits.Audit:
+    return audits.audit(_load(spark, sf_dir, **how), settings, with_long_cycles=with_long_cycles)
 
 
 def _longs(df: DataFrame, *names: str) -> DataFrame:
@@ -114,7 +114,7 @@ def sibling_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
 select dir_a, dir_b, dir_a || '>' || dir_b || '>' || dir_a as cycle_path, ab || ',' || ba as hop_counts, severity, weakest_link, cast(v.break_cost as bigint) as break_cost
 from circ join viol v using (snapshot_id, dir_a, dir_b) where is_circular""")
 def mutual_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, v = _raw(spark, sf_dir)
+    _, v = _raw(spark, sf_dir, with_long_cycles=False)
     return v.where("is_circular").select("dir_a", "dir_b", F.array_join("cycle_path", ">").alias("cycle_path"), F.array_join(F.transform("cycle_hop_counts", lambda x: x.cast("string")), ",").alias("hop_counts"), "severity", "weakest_link", "break_cost")
 
 
@@ -144,11 +144,23 @@ def _scores(a: audits.Audit) -> DataFrame:
 
 @query(_sql_graph(by_year=True) + _SCORES.format(risk="risk", xs="viol"))
 def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_audit(spark, sf_dir, with_long_cycles=False, by_year=True))
+
+
+@query()
+def health_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``health_score`` with loops of three and more."""
     return _scores(_audit(spark, sf_dir, by_year=True))
 
 
 @query(_sql_graph(by_year=True) + _SCORES.format(risk="(select * from risk where is_circular)", xs="(select * from risk where is_circular)"))
 def actionable_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_audit(spark, sf_dir, Settings(coupling_mode="actionable"), with_long_cycles=False, by_year=True))
+
+
+@query()
+def actionable_mode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``actionable_mode`` with loops of three and more."""
     return _scores(_audit(spark, sf_dir, Settings(coupling_mode="actionable"), by_year=True))
 
 
@@ -289,7 +301,7 @@ select name, cast(n as bigint) as files, round(score, 6) as score, round(greates
 def monorepo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _load(spark, sf_dir)
     own = module_graph(g)
-    scores = scoring.severity_score(audits.raw_violations(own, with_long_cycles=False), own.modules)
+    scores = scoring.severity_score(audits.raw_violations(own), own.modules)
     crossings = rules.cross_module_violations(g.edges(), MONOREPO).agg(F.count("*").alias("_x"))
     whole = scores.agg((F.sum(F.col("severity_score") * F.col("n_modules")) / F.sum("n_modules")).alias("_s"), F.sum("n_modules").alias("_n")).join(crossings).select(F.greatest(F.lit(0.0), F.col("_s") - 100.0 * F.col("_x") / F.col("_n")).alias("overall"))
     return _rounded(scores.join(F.broadcast(whole)).select(F.col("snapshot_id").alias("name"), F.col("n_modules").alias("files"), F.col("severity_score").alias("score"), "overall"), "score", "overall")
@@ -303,7 +315,7 @@ union all select dir_a, dir_b, true from (select distinct dir_a, dir_b from hop
 def diff_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _load(spark, sf_dir)
     changed = g.modules.where("id % 100 = 0").select(F.col("path").alias("file"))
-    return audits.audit(g, with_long_cycles=False).only_changed(changed).violations.select("dir_a", "dir_b", "is_circular")
+    return audits.audit(g).only_changed(changed).violations.select("dir_a", "dir_b", "is_circular")
 
 
 @query(_sql_graph(by_year=True) + """
@@ -311,7 +323,17 @@ def diff_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 select distinct fingerprint, 'new' as status from fp where snapshot_id = '2000' and fingerprint not in (select fingerprint from fp where snapshot_id = '1999')
 union all select distinct fingerprint, 'resolved' from fp where snapshot_id = '1999' and fingerprint not in (select fingerprint from fp where snapshot_id = '2000')""")
 def baseline_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _audit(spark, sf_dir, by_year=True).fingerprints()
+    return _baseline(_audit(spark, sf_dir, with_long_cycles=False, by_year=True))
+
+
+@query()
+def baseline_compare_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``baseline_compare`` with loops of three and more."""
+    return _baseline(_audit(spark, sf_dir, by_year=True))
+
+
+def _baseline(a: audits.Audit) -> DataFrame:
+    f = a.fingerprints()
     return history.compare_baseline(f.where("snapshot_id = '2000'").select("fingerprint"), f.where("snapshot_id = '1999'").select("fingerprint"))
 
 
@@ -319,13 +341,19 @@ _YEARLY = """, score as (select m.snapshot_id, greatest(0.0e0, 100.0e0 * (1.0e0
 """
 
 
-def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, v = _raw(spark, sf_dir, by_year=True)
+def _yearly(spark: SparkSession, sf_dir: str, with_long_cycles: bool = True) -> DataFrame:
+    g, v = _raw(spark, sf_dir, with_long_cycles, by_year=True)
     return scoring.severity_score(v, g.modules).select("snapshot_id", F.col("severity_score").alias("score"))
 
 
 @query(_sql_graph(by_year=True) + _YEARLY + "select snapshot_id, round(score, 6) as score, round(score - lag(score) over (order by snapshot_id), 6) as delta from score")
 def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(history.trend(_yearly(spark, sf_dir, with_long_cycles=False)), "score", "delta")
+
+
+@query()
+def trend_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``trend`` with loops of three and more."""
     return _rounded(history.trend(_yearly(spark, sf_dir)), "score", "delta")
 
 
@@ -338,14 +366,14 @@ left join (select snapshot_id, split_part(dir_a, '/', 1) as module, sum(severity
 , d as (select *, score - last_value(score ignore nulls) over (partition by module order by snapshot_id rows between unbounded preceding and 1 preceding) as x from ms)
 select snapshot_id, module, round(score, 6) as score, case when x > 0.5 then 'up' when x < -0.5 then 'down' when x is not null then 'flat' end as arrow from d""")
 def trend_by_module(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, v = _raw(spark, sf_dir, by_year=True, thin=20)
+    g, v = _raw(spark, sf_dir, with_long_cycles=False, by_year=True, thin=20)
     return _rounded(history.module_trend(history.module_scores(v, g.modules)), "score")
 
 
 @query()
 def trend_by_module_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``trend_by_module`` over all orders."""
-    g, v = _raw(spark, sf_dir, with_long_cycles=True, by_year=True)
+    g, v = _raw(spark, sf_dir, by_year=True)
     return _rounded(history.module_trend(history.module_scores(v, g.modules)), "score")
 
 
@@ -353,9 +381,18 @@ def trend_by_module_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 select c.from_module, c.to_module, cast(count(h.snapshot_id) as bigint) as seen_in, case when count(h.snapshot_id) = 0 then 'new' when count(h.snapshot_id) < 5 then 'recent' else 'chronic' end as age
 from (select distinct from_module, to_module from risk where snapshot_id = '2000') c left join (select distinct snapshot_id, from_module, to_module from viol where snapshot_id <> '2000') h using (from_module, to_module) group by all""")
 def violation_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _load(spark, sf_dir, by_year=True)
-    current = audits.audit(g, with_long_cycles=False).violations.where("snapshot_id = '2000'")
-    past = audits.raw_violations(g, with_long_cycles=False).where("snapshot_id <> '2000'")
+    return _ages(_load(spark, sf_dir, by_year=True), with_long_cycles=False)
+
+
+@query()
+def violation_age_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``violation_age`` with loops of three and more."""
+    return _ages(_load(spark, sf_dir, by_year=True))
+
+
+def _ages(g: graphs.Graph, with_long_cycles: bool = True) -> DataFrame:
+    current = audits.audit(g, with_long_cycles=with_long_cycles).violations.where("snapshot_id = '2000'")
+    past = audits.raw_violations(g, with_long_cycles=with_long_cycles).where("snapshot_id <> '2000'")
     return _longs(history.ages(current, past), "seen_in")
 
 
@@ -365,6 +402,13 @@ select *, introduced - resolved as net from (select s as snapshot_id, cast((sele
        cast((select count(*) from p x where x.s = steps.b and not exists (select 1 from p y where y.s = steps.s and y.f = x.f and y.t = x.t)) as bigint) as resolved
 from steps where b is not null)""")
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, v = _raw(spark, sf_dir, with_long_cycles=False, by_year=True)
+    return _longs(history.velocity(v, g.modules), "introduced", "resolved", "net")
+
+
+@query()
+def velocity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``velocity`` with loops of three and more."""
     g, v = _raw(spark, sf_dir, by_year=True)
     return _longs(history.velocity(v, g.modules), "introduced", "resolved", "net")
 
@@ -373,14 +417,14 @@ def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 , x as (select snapshot_id, row_number() over (order by snapshot_id) - 1 as x from n_mods)
 select module, round(coalesce(regr_slope(score, x), 0.0e0), 6) + 0.0e0 as slope, cast(count(*) as bigint) as points from ms join x using (snapshot_id) group by module""")
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, v = _raw(spark, sf_dir, by_year=True, thin=20)
+    g, v = _raw(spark, sf_dir, with_long_cycles=False, by_year=True, thin=20)
     return _rounded(history.trajectories(history.module_scores(v, g.modules), g.modules), "slope")
 
 
 @query()
 def trajectory_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``trajectory`` over all orders."""
-    g, v = _raw(spark, sf_dir, with_long_cycles=True, by_year=True)
+    g, v = _raw(spark, sf_dir, by_year=True)
     return _rounded(history.trajectories(history.module_scores(v, g.modules), g.modules), "slope")
 
 
@@ -403,6 +447,12 @@ def risk_concentration_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 , e as (select arg_min(score, snapshot_id) as a, arg_max(score, snapshot_id) as b, count(*) as n from score)
 select round(a, 6) as first_score, round(b, 6) as last_score, cast(n as bigint) as snapshots, round(b - a, 6) as change, case when b - a > 0.5 then 'improving' when b - a < -0.5 then 'degrading' else 'stable' end as direction from e""")
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(history.headline(_yearly(spark, sf_dir, with_long_cycles=False)), "first_score", "last_score", "change")
+
+
+@query()
+def headline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``headline`` with loops of three and more."""
     return _rounded(history.headline(_yearly(spark, sf_dir)), "first_score", "last_score", "change")
 
 

@@ -151,3 +151,28 @@ def test_reaching_counts_by_blocks(monkeypatch):
     for block in (4096, 3):
         monkeypatch.setattr(reach, "BLOCK", block)
         assert reach.reaching(users) == expected
+
+
+def test_scores_count_longer_loops(spark, tables):
+    scores = {y: max(0.0, 100.0 * (1 - sum(x for _, x in severities(y)) / len(files(y)))) for y in CHAINS}
+    assert {r.snapshot_id: r.score for r in rows(spark, tables, "trend_whole")} == pytest.approx(scores, abs=1e-6)
+    (r,) = rows(spark, tables, "headline_whole")
+    assert (r.first_score, r.last_score, r.snapshots) == (pytest.approx(scores["1999"], abs=1e-6), pytest.approx(scores["2001"], abs=1e-6), 3)
+    kept = {y: sum(x for _, x in severities(y) if x >= 0.2) for y in CHAINS}  # the audit's least severity
+    assert {r.snapshot_id: r.severity_score for r in rows(spark, tables, "health_score_whole")} == pytest.approx({y: max(0.0, 100.0 * (1 - kept[y] / len(files(y)))) for y in CHAINS}, abs=1e-6)
+
+
+def test_history_knows_longer_loops(spark, tables):
+    changes = {(r.fingerprint, r.status) for r in rows(spark, tables, "baseline_compare_whole")} - {(r.fingerprint, r.status) for r in rows(spark, tables, "baseline_compare")}
+    old, new = ({frozenset(d.split("/")[-1] for d in m) for _, m in loops(y)} for y in ("1999", "2000"))  # fingerprints have base names
+    assert len(changes) == len(old ^ new) > 0 and all(f.startswith("circular:") for f, _ in changes)
+    more = {(r.from_module, r.to_module) for r in rows(spark, tables, "violation_age_whole")} - {(r.from_module, r.to_module) for r in rows(spark, tables, "violation_age")}
+    assert len(more) == len(loops("2000")) and not any(m.endswith(".kt") for pair in more for m in pair)
+    seen = [{(y, p, m) for p, m in loops(y)} for y in sorted(CHAINS)]
+    extra = [a.introduced + a.resolved - b.introduced - b.resolved for a, b in zip(*(sorted(rows(spark, tables, n)) for n in ("velocity_whole", "velocity")))]
+    assert extra == [len({x[1:] for x in a} ^ {x[1:] for x in b}) for a, b in zip(seen, seen[1:])]
+
+
+def test_actionable_mode_keeps_longer_loops(spark, tables):
+    whole, bound = ({r.snapshot_id: r.total_xs or 0 for r in rows(spark, tables, n)} for n in ("actionable_mode_whole", "actionable_mode"))
+    assert whole["1999"] > bound["1999"]
