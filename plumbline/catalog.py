@@ -486,7 +486,18 @@ def external_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 select i.path, import_path, cast(line as bigint) as line_number, m.path as to_path from i left join (select min(path) as path, regexp_extract(path, '/(.*)$', 1) as tail from mods group by tail) m on m.tail = replace(import_path, '.', '/') || '.kt'""".replace("\\\\", "\\"))
 def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _load(spark, sf_dir)
-    named = g.edges().where("line_number = 1").select(F.col("from_path").alias("path"), F.translate(F.regexp_extract("to_path", r"/(.*)\.kt$", 1), "/", ".").alias("import_path"), "line_number").distinct()
+    return _resolved(g, g.edges().where("line_number = 1"))
+
+
+@query()
+def resolve_imports_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``resolve_imports`` of all lines."""
+    g = _load(spark, sf_dir)
+    return _resolved(g, g.edges())
+
+
+def _resolved(g: graphs.Graph, edges: DataFrame) -> DataFrame:
+    named = edges.select(F.col("from_path").alias("path"), F.translate(F.regexp_extract("to_path", r"/(.*)\.kt$", 1), "/", ".").alias("import_path"), "line_number").distinct()
     stem = F.translate("import_path", ".", "/")
     tries = F.array(*(F.struct(F.lit("suffix").alias("how"), F.concat(stem, F.lit(e)).alias("text")) for e in (".kt", ".kts")))
     return _longs(imports.resolve(named.withColumn("tries", tries), g.modules.select("path")).select("path", "import_path", "line_number", "to_path"), "line_number")

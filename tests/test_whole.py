@@ -176,3 +176,8 @@ def test_history_knows_longer_loops(spark, tables):
 def test_actionable_mode_keeps_longer_loops(spark, tables):
     whole, bound = ({r.snapshot_id: r.total_xs or 0 for r in rows(spark, tables, n)} for n in ("actionable_mode_whole", "actionable_mode"))
     assert whole["1999"] > bound["1999"]
+
+
+def test_imports_of_all_lines_are_resolved(spark, tables):
+    expected = sorted({(path(a), f"{PARTS[b][1]}.P{b}", n, path(b)) for y in CHAINS for a, b, n in imports(y)})
+    assert sorted(tuple(r) for r in rows(spark, tables, "resolve_imports_whole")) == expected and {n for _, _, n, _ in expected} > {1}
