@@ -208,6 +208,13 @@ def critical_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.critical_path(g.edges(), g.modules).select("snapshot_id", "max_depth")
 
 
+@query()
+def critical_depth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``critical_depth`` over all orders and imports in both directions, cycles included."""
+    g = _load(spark, sf_dir, by_year=True)
+    return reach.critical_path(g.edges(), g.modules).select("snapshot_id", "max_depth")
+
+
 @query(_sql_graph() + """
 select dir as directory, cast(n as bigint) as file_count, cast(coalesce(i, 0) as bigint) as internal_deps, coalesce(i, 0) / (n * (n - 1.0e0)) as cohesion
 from (select dir, count(*) as n from mods group by dir having count(*) >= 2) left join (select fd as dir, count(*) as i from edges where fd = td group by fd) using (dir)""")

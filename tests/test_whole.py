@@ -11,6 +11,8 @@ import pytest
 from plumbline import catalog
 from plumbline.operators import reach
 
+from .test_graph import brute_depth
+
 #: A brand and a type for each part; loops of three within and between brands, and a mutual pair.
 PARTS = {n: (f"Brand#{1 + n % 4}", "ABC"[n // 4 % 3]) for n in range(24)}
 CHAINS = {
@@ -181,3 +183,8 @@ def test_actionable_mode_keeps_longer_loops(spark, tables):
 def test_imports_of_all_lines_are_resolved(spark, tables):
     expected = sorted({(path(a), f"{PARTS[b][1]}.P{b}", n, path(b)) for y in CHAINS for a, b, n in imports(y)})
     assert sorted(tuple(r) for r in rows(spark, tables, "resolve_imports_whole")) == expected and {n for _, _, n, _ in expected} > {1}
+
+
+def test_critical_depth_of_cyclic_graphs(spark, tables):
+    expected = {y: max(brute_depth({n: {b for a, b, _ in imports(y) if a == n} for n in files(y)}).values()) for y in CHAINS}
+    assert {r.snapshot_id: r.max_depth for r in rows(spark, tables, "critical_depth_whole")} == expected and max(expected.values()) >= 3
