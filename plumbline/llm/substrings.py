@@ -121,6 +121,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``row`` is a hash of id and text. A span is a run of neighbouring repeated
     chunks of ``min_words`` words or more, with the smallest doc_id that holds
     one of its chunks; the first holder's own span is given too, with its own id.
+    A run that stands here first only in part is given in several spans.
     Digests are counted with partial aggregation, and the repeated ones are
     joined back in a join that can be split where a digest is hot; only
     repeated chunks are gathered, per document.
@@ -130,14 +131,19 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     repeated = held.where("n > 1").select("hi", "lo", F.col("first.doc_id").alias("first_doc_id"), F.struct("first.row", "first.nth").alias("home"))
     found = pieces.join(repeated, ["hi", "lo"]).withColumn("is_home", (F.col("row") == F.col("home.row")) & (F.col("nth") == F.col("home.nth")))
     gathered = found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(F.struct("nth", "start", "stop", "first_word", "end_word", "first_doc_id", "is_home"))).alias("pieces"))
+    # runs of neighbouring pieces, then each kept run in parts of equal is_home
     runs = F.expr(
-        """aggregate(pieces, cast(array() as array<struct<last:int,start:int,stop:int,first_word:int,end_word:int,first_doc_id:bigint,is_home:boolean>>),
-        (acc, p) -> case when size(acc) > 0 and element_at(acc, -1).last = p.nth - 1 and element_at(acc, -1).is_home = p.is_home
-        then concat(slice(acc, 1, size(acc) - 1), array(named_struct('last', p.nth, 'start', element_at(acc, -1).start, 'stop', p.stop,
-            'first_word', element_at(acc, -1).first_word, 'end_word', p.end_word, 'first_doc_id', least(element_at(acc, -1).first_doc_id, p.first_doc_id), 'is_home', p.is_home)))
-        else concat(acc, array(named_struct('last', p.nth, 'start', p.start, 'stop', p.stop, 'first_word', p.first_word, 'end_word', p.end_word, 'first_doc_id', p.first_doc_id, 'is_home', p.is_home))) end)"""
+        """aggregate(pieces, cast(array() as array<struct<last:int,parts:array<struct<start:int,stop:int,first_word:int,end_word:int,first_doc_id:bigint,is_home:boolean>>>>),
+        (acc, p) -> case when size(acc) > 0 and element_at(acc, -1).last = p.nth - 1
+        then concat(slice(acc, 1, size(acc) - 1), array(named_struct('last', p.nth, 'parts',
+            case when element_at(element_at(acc, -1).parts, -1).is_home = p.is_home
+            then concat(slice(element_at(acc, -1).parts, 1, size(element_at(acc, -1).parts) - 1), array(named_struct('start', element_at(element_at(acc, -1).parts, -1).start, 'stop', p.stop,
+                'first_word', element_at(element_at(acc, -1).parts, -1).first_word, 'end_word', p.end_word, 'first_doc_id', least(element_at(element_at(acc, -1).parts, -1).first_doc_id, p.first_doc_id), 'is_home', p.is_home)))
+            else concat(element_at(acc, -1).parts, array(named_struct('start', p.start, 'stop', p.stop, 'first_word', p.first_word, 'end_word', p.end_word, 'first_doc_id', p.first_doc_id, 'is_home', p.is_home))) end)))
+        else concat(acc, array(named_struct('last', p.nth, 'parts', array(named_struct('start', p.start, 'stop', p.stop, 'first_word', p.first_word, 'end_word', p.end_word, 'first_doc_id', p.first_doc_id, 'is_home', p.is_home))))) end)"""
     )
-    spans = gathered.select("row", "doc_id", F.filter(runs, lambda r: r["end_word"] - r["first_word"] >= min_words).alias("spans"))
+    long_runs = F.filter(runs, lambda r: F.element_at(r["parts"], -1)["end_word"] - F.element_at(r["parts"], 1)["first_word"] >= min_words)
+    spans = gathered.select("row", "doc_id", F.flatten(F.transform(long_runs, lambda r: r["parts"])).alias("spans"))
     return spans.where(F.size("spans") > 0)
 
 

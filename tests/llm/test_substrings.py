@@ -70,3 +70,13 @@ def test_repeats_of_a_short_period_are_found(spark):
     cleaned = {r.doc_id: r.text for r in substrings.deduplicated(documents(spark, texts)).collect()}
     for i, text in texts:
         assert cleaned[i].split()[:40] == text.split()[:40] and cleaned[i].split()[-30:] == text.split()[-30:]
+
+
+def test_a_passage_around_an_older_quote_is_found(spark):
+    rng = random.Random(6)
+    left, quote, right = words(rng, 25), words(rng, 26), words(rng, 25)
+    passage = f"{left} {quote} {right}"
+    texts = [(1, f"{words(rng, 40)} {quote} {words(rng, 40)}"), (2, f"{words(rng, 40)} {passage} {words(rng, 40)}"), (3, f"{words(rng, 40)} {passage} {words(rng, 40)}")]
+    rows = {r.doc_id: r for r in substrings.repeats(documents(spark, texts)).collect()}
+    assert rows[2].repeated_words == rows[3].repeated_words >= 2 * substrings.MIN_WORDS > rows[2].removable_words > 0
+    assert [s.is_home for s in rows[2].spans] == [True, False, True] and rows[3].removable_words == rows[3].repeated_words
