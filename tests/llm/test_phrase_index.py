@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from plumbline.llm import phrase_index
 
@@ -57,29 +58,45 @@ def test_phrases_equal_brute_force_in_one_block_and_in_many(spark):
     assert found(spark, texts, items, block_bytes=60) == expected
 
 
-def test_proximity(spark):
+def brute_near(texts, items, terms, span):
+    count = Counter(w for _, t in texts for w in split(t))
+    out = {}
+    for i, t in texts:
+        w = split(t)
+        out[i] = set()
+        for item, x in items:
+            some = sorted(set(split(x)), key=lambda v: (count[v], v.encode()))[:terms]
+            if item is not None and some and any(set(some) <= set(w[k : k + span]) for k in range(len(w))):
+                out[i].add(str(item))
+    return out
+
+
+def test_proximity_equals_brute_force_whatever_the_segments(spark, monkeypatch):
     texts, items = case(2)
-    rows = phrase_index.find_items(documents(spark, texts), spark.createDataFrame([(*x, "t") for x in items], BENCH), proximity=(3, 6)).collect()
-    df = {}
-    for _, t in texts:
-        for w in split(t):
-            df[w] = df.get(w, 0) + 1
-    for r in rows:
-        w = split(texts[r.doc_id][1])
-        assert all(any(set(split(x)) & set(w[k : k + 6]) for k in range(len(w))) for i, x in items if str(i) in r.near_items)
-    planted = documents(spark, [(0, "alpha x beta y gamma"), (1, "alpha " + "x " * 9 + "beta gamma"), (2, "gamma beta alpha")])
-    bench = spark.createDataFrame([(1, "alpha beta gamma", "t")], BENCH)
-    near = {r.doc_id: r.near_items for r in phrase_index.find_items(planted, bench, proximity=(3, 5)).collect()}
-    assert near == {0: ["1"], 1: [], 2: ["1"]}
-
-
-def test_full_index_answers_like_a_restricted_one(spark):
+    expected = brute_near(texts, items, 3, 6)
+    assert sum(map(bool, expected.values())) > 10
+    for segment, how in ((4 << 20, {}), (300, {}), (300, {"block_bytes": 60})):
+        monkeypatch.setattr(phrase_index, "SEGMENT_BYTES", segment)
+        rows = phrase_index.find_items(documents(spark, texts), spark.createDataFrame([(*x, "t") for x in items], BENCH), proximity=(3, 6), **how).collect()
+        assert {r.doc_id: set(r.near_items) for r in rows} == expected
+
+
+def test_a_stored_index_answers_a_second_test_set(spark, monkeypatch):
+    monkeypatch.setattr(phrase_index, "SEGMENT_BYTES", 500)
+    monkeypatch.setattr(phrase_index, "OPEN", 40)
     texts, items = case(3)
-    docs = documents(spark, texts)
-    held = [(str(i), w) for i, x in items if (w := [v.encode() for v in split(x)])]
-    a = phrase_index.search(phrase_index.build_index(docs), held).select("doc_id", "hits", "items").collect()
-    b = phrase_index.search(phrase_index.build_index(docs, {t for _, w in held for t in w}), held).select("doc_id", "hits", "items").collect()
-    assert sorted(a) == sorted(b)
+    index = phrase_index.build_index(documents(spark, texts, CLASHING))
+    assert index.count() > 5
+    for some in (items, items[::2]):
+        rows = phrase_index.find_in(index, spark.createDataFrame([(*x, "t") for x in some], BENCH)).collect()
+        whole = brute(texts, some)
+        assert {r.doc_id: (sum(h.end_word - h.first_word for h in r.hits), r["items"]) for r in rows} == {i: x[1:3] for i, x in whole.items()}
+
+
+def test_items_without_an_id_hit_words_but_are_not_named(spark):
+    docs = documents(spark, [(1, "alpha beta gamma"), (2, "delta")])
+    rows = phrase_index.contamination(docs, spark.createDataFrame([(None, "beta gamma", "t")], BENCH), proximity=(3, 5)).collect()
+    assert {r.doc_id: (r.n_hit, r["items"], r.near_items, r.contaminated) for r in rows} == {1: (2, [], [], True), 2: (0, [], [], False)}
 
 
 def test_only_contaminated_rows_go(spark):
@@ -97,6 +114,6 @@ def test_awkward_tables(spark):
     rows = phrase_index.contamination(awkward(spark), none).collect()
     assert len(rows) == 10 and not any(r.contaminated for r in rows)
     assert phrase_index.decontaminate(awkward(spark), none).count() == 10
-    odd = spark.createDataFrame([(None, "alpha beta", "t"), (1, "alpha", "t"), (1, "alpha", "t")], BENCH)
+    odd = spark.createDataFrame([(None, None, "t"), (1, "alpha", "t"), (1, "alpha", "t")], BENCH)
     rows = phrase_index.contamination(awkward(spark), odd).collect()
     assert [r.n_hit for r in rows if r.doc_id == 1] == [1, 1]
