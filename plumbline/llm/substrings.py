@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices, texts
+from .columns import columns, fresh
 
 #: Bytes that the rolling hash sees, and places on either side that a boundary has to exceed.
 WINDOW, REACH = 16, 24
@@ -118,7 +119,7 @@ def _row_key(docs: DataFrame) -> Column:
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, doc_id, spans) of the rows of ``docs`` (doc_id, text) that hold passages which also stand elsewhere.
 
-    ``row`` is a hash of id and text. A span is a run of neighbouring repeated
+    A row is known by doc_id and ``row``, a hash of id and text. A span is a run of neighbouring repeated
     chunks of ``min_words`` words or more, with the smallest doc_id that holds
     one of its chunks; the first holder's own span is given too, with its own id.
     A run that stands here first only in part is given in several spans.
@@ -129,21 +130,18 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pieces = chunks(docs.withColumn("row", _row_key(docs)))
     held = pieces.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "nth")).alias("first"), F.count("*").alias("n"))
     repeated = held.where("n > 1").select("hi", "lo", F.col("first.doc_id").alias("first_doc_id"), F.struct("first.row", "first.nth").alias("home"))
-    found = pieces.join(repeated, ["hi", "lo"]).withColumn("is_home", (F.col("row") == F.col("home.row")) & (F.col("nth") == F.col("home.nth")))
+    found = pieces.join(repeated, ["hi", "lo"]).withColumn("is_home", (F.col("row") == F.col("home.row")) & (F.col("nth") == F.col("home.nth")) & F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
     gathered = found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(F.struct("nth", "start", "stop", "first_word", "end_word", "first_doc_id", "is_home"))).alias("pieces"))
-    # runs of neighbouring pieces, then each kept run in parts of equal is_home
-    runs = F.expr(
-        """aggregate(pieces, cast(array() as array<struct<last:int,parts:array<struct<start:int,stop:int,first_word:int,end_word:int,first_doc_id:bigint,is_home:boolean>>>>),
-        (acc, p) -> case when size(acc) > 0 and element_at(acc, -1).last = p.nth - 1
-        then concat(slice(acc, 1, size(acc) - 1), array(named_struct('last', p.nth, 'parts',
-            case when element_at(element_at(acc, -1).parts, -1).is_home = p.is_home
-            then concat(slice(element_at(acc, -1).parts, 1, size(element_at(acc, -1).parts) - 1), array(named_struct('start', element_at(element_at(acc, -1).parts, -1).start, 'stop', p.stop,
-                'first_word', element_at(element_at(acc, -1).parts, -1).first_word, 'end_word', p.end_word, 'first_doc_id', least(element_at(element_at(acc, -1).parts, -1).first_doc_id, p.first_doc_id), 'is_home', p.is_home)))
-            else concat(element_at(acc, -1).parts, array(named_struct('start', p.start, 'stop', p.stop, 'first_word', p.first_word, 'end_word', p.end_word, 'first_doc_id', p.first_doc_id, 'is_home', p.is_home))) end)))
-        else concat(acc, array(named_struct('last', p.nth, 'parts', array(named_struct('start', p.start, 'stop', p.stop, 'first_word', p.first_word, 'end_word', p.end_word, 'first_doc_id', p.first_doc_id, 'is_home', p.is_home))))) end)"""
-    )
-    long_runs = F.filter(runs, lambda r: F.element_at(r["parts"], -1)["end_word"] - F.element_at(r["parts"], 1)["first_word"] >= min_words)
-    spans = gathered.select("row", "doc_id", F.flatten(F.transform(long_runs, lambda r: r["parts"])).alias("spans"))
+    # places in ``pieces`` where a run of neighbours begins, and the end of the last; then the same within a kept run, for parts
+    # of equal is_home. Each piece is looked at a fixed number of times, so a text of many pieces takes no more than its length.
+    runs = """transform(breaks, (b, j) -> slice(pieces, b + 1, coalesce(get(breaks, j + 1), size(pieces)) - b))"""
+    breaks = "filter(sequence(0, size({0}) - 1), i -> i = 0 or {1})"
+    begun = gathered.withColumn("breaks", F.expr(breaks.format("pieces", "pieces[i].nth <> pieces[i - 1].nth + 1")))
+    kept = begun.withColumn("runs", F.expr(f"filter({runs}, r -> element_at(r, -1).end_word - r[0].first_word >= {int(min_words)})"))
+    parted = kept.withColumn("runs", F.expr("transform(runs, r -> struct(r, " + breaks.format("r", "r[i].is_home <> r[i - 1].is_home") + " as at))"))
+    part = """struct(p[0].start as start, element_at(p, -1).stop as stop, p[0].first_word as first_word, element_at(p, -1).end_word as end_word,
+        array_min(transform(p, x -> x.first_doc_id)) as first_doc_id, p[0].is_home as is_home)"""
+    spans = parted.select("row", "doc_id", F.expr(f"flatten(transform(runs, x -> transform(transform(x.at, (b, j) -> slice(x.r, b + 1, coalesce(get(x.at, j + 1), size(x.r)) - b)), p -> {part})))").alias("spans"))
     return spans.where(F.size("spans") > 0)
 
 
@@ -152,16 +150,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``repeated_words`` are in passages that also stand elsewhere (in another
     document, or again in the same); ``removable_words`` leaves out those of
-    which this is the first place. ``first_doc_ids`` has, sorted, the smallest
-    ids that hold the passages, so that all holders of a passage name the same
-    one. Null and empty texts hold none; rows without a doc_id come last in
+    which this is the first place. ``first_doc_ids`` has, sorted, for each span
+    the smallest id that holds one of its chunks; holders of one passage may name
+    different ids where more of the text around it is shared by some of them.
+    Null and empty texts hold none; rows without a doc_id come last in
     order and are compared like any; repeated rows give repeated rows, all of
     them first places if one is; other columns are ignored.
     """
     rows = docs.select("doc_id", _row_key(docs).alias("row"))
-    found = passages(docs.select("doc_id", "text"), min_words).drop("doc_id")
+    found = passages(docs.select("doc_id", "text"), min_words).withColumnRenamed("doc_id", "_id").withColumnRenamed("row", "_row")
+    same = (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     words = "aggregate({}, 0L, (acc, s) -> acc + s.end_word - s.first_word)"
-    return rows.join(found, "row", "left").select(
+    return rows.join(found, same, "left").select(
         "doc_id",
         F.expr("cast(coalesce(size(spans), 0) as long)").alias("n_spans"),
         F.expr("coalesce(" + words.format("spans") + ", 0L)").alias("repeated_words"),
@@ -172,12 +172,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with all columns, each repeated passage kept only at its first place; a text of nothing else becomes empty."""
-    cuts = passages(docs.select("doc_id", "text"), min_words).select(F.col("row").alias("_cut_row"), F.expr("transform(filter(spans, s -> not s.is_home), s -> struct(s.start, s.stop))").alias("_cuts")).where(F.size("_cuts") > 0)
-    met = docs.withColumn("_row", _row_key(docs)).join(cuts, F.col("_row") == F.col("_cut_row"), "left")
+    """``docs`` with all columns, each repeated passage kept only at its first place; a text of nothing else becomes empty.
+
+    Rows that repeat id and text are first places together, so all of them stay.
+    """
+    row, their_id, their_row, cuts = (fresh(c, docs) for c in ("_row", "_cut_id", "_cut_row", "_cuts"))
+    found = passages(docs.select("doc_id", "text"), min_words)
+    found = found.select(F.col("doc_id").alias(their_id), F.col("row").alias(their_row), F.expr("transform(filter(spans, s -> not s.is_home), s -> struct(s.start, s.stop))").alias(cuts)).where(F.size(cuts) > 0)
+    keyed = docs.withColumn(row, _row_key(docs))
+    met = keyed.join(found, (keyed[row] == found[their_row]) & keyed["doc_id"].eqNullSafe(found[their_id]), "left")
     pieces = F.expr(
-        """array_join(transform(sequence(0, size(_cuts)), i -> decode(substring(encode(text, 'UTF-8'),
-        case when i = 0 then 1 else _cuts[i - 1].stop + 1 end,
-        (case when i = size(_cuts) then octet_length(text) else _cuts[i].start end) - (case when i = 0 then 0 else _cuts[i - 1].stop end)), 'UTF-8')), '')"""
+        f"""array_join(transform(sequence(0, size({cuts})), i -> decode(substring(encode(text, 'UTF-8'),
+        case when i = 0 then 1 else {cuts}[i - 1].stop + 1 end,
+        (case when i = size({cuts}) then octet_length(text) else {cuts}[i].start end) - (case when i = 0 then 0 else {cuts}[i - 1].stop end)), 'UTF-8')), '')"""
     )
-    return met.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(pieces)).select(docs.columns)
+    return met.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(pieces)).select(columns(docs))

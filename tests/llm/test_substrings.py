@@ -80,3 +80,57 @@ def test_a_passage_around_an_older_quote_is_found(spark):
     rows = {r.doc_id: r for r in substrings.repeats(documents(spark, texts)).collect()}
     assert rows[2].repeated_words == rows[3].repeated_words >= 2 * substrings.MIN_WORDS > rows[2].removable_words > 0
     assert [s.is_home for s in rows[2].spans] == [True, False, True] and rows[3].removable_words == rows[3].repeated_words
+
+
+def brute_runs(texts, min_words):
+    """{doc: [(start, stop)]}: byte ranges of runs of chunks that stand elsewhere too, from the chunks alone."""
+    pieces, places = {}, {}
+    for i, t in texts:
+        data = (t or "").encode()
+        stops = substrings.boundaries(np.frombuffer(data, np.uint8)).tolist()
+        pieces[i] = list(zip([0, *stops[:-1]], stops))
+        for a, b in pieces[i]:
+            places.setdefault(data[a:b], []).append((i, a))
+    out = {}
+    for i, t in texts:
+        data, run = (t or "").encode(), []
+        for a, b in [*pieces[i], (None, None)]:
+            if a is not None and len(places[data[a:b]]) > 1:
+                run.append((a, b))
+            else:
+                if run and words_begun(data, run[0][0], run[-1][1]) >= min_words:
+                    out.setdefault(i, []).append((run[0][0], run[-1][1]))
+                run = []
+    return out
+
+
+def words_begun(data, start, stop):
+    return sum(data[k : k + 1].strip() != b"" and (k == 0 or data[k - 1 : k].strip() == b"") for k in range(start, stop))
+
+
+def test_spans_equal_brute_force_on_shared_passages(spark):
+    rng = random.Random(11)
+    pool = [words(rng, rng.randint(15, 90)) for _ in range(12)]
+    texts = [(i, " ".join(x for _ in range(rng.randint(1, 4)) for x in (words(rng, rng.randint(0, 60)), rng.choice(pool)))) for i in range(70)] + [(100, None), (101, "")]
+    expected = brute_runs(texts, 20)
+    found = {}
+    for r in substrings.repeats(documents(spark, texts), 20).collect():
+        parts = [(s.start, s.stop) for s in r.spans]
+        whole = []
+        for a, b in parts:  # parts of one run touch
+            if whole and whole[-1][1] == a:
+                whole[-1] = (whole[-1][0], b)
+            else:
+                whole.append((a, b))
+        if whole:
+            found[r.doc_id] = whole
+        assert r.n_spans == len(r.spans) and r.repeated_words == sum(s.end_word - s.first_word for s in r.spans)
+    assert found == expected and len(found) > 40
+
+
+def test_clashing_columns_stay(spark):
+    rng = random.Random(5)
+    shared = words(rng, 60)
+    docs = spark.createDataFrame([(i, f"{words(rng, 30)} {shared}", f"r{i}", i, f"c{i}") for i in range(4)], "doc_id long, text string, _row string, _cuts long, `_cut.id` string")
+    out = substrings.deduplicated(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r["_row"], r["_cuts"], r["_cut.id"]) for r in out.collect()) == [(i, f"r{i}", i, f"c{i}") for i in range(4)]
