@@ -1,7 +1,7 @@
 """Named queries over the benchmark tables, and the same in DuckDB SQL.
 
-Yearly queries with SQL compare snapshots by sibling pairs and mutual cycles;
-their namesakes in ``_whole`` have all orders and longer loops, without SQL.
+Every query runs over its whole tables. Where SQL would be too slow on them, or
+can't follow, a query has none and is tested against brute force.
 """
 
 from __future__ import annotations
@@ -38,18 +38,23 @@ def query(sql: str | None = None):
     return take
 
 
-def _sql_graph(by_year: bool = False, thin: int = 1, acyclic: bool = False) -> str:
-    """CTEs: mods, deps and edges, then pairs, circ and viol, of the graph that ``graphs.load`` makes."""
+def _sql_graph(by_year: bool = False) -> str:
+    """CTEs: mods, deps and edges, then pairs, circ, loops and viol, of the graph that ``graphs.load`` makes.
+
+    ``loops`` are strong components of siblings without a mutual pair. A search
+    in ascending order comes to each directory by the least simple path, so the
+    one of a component that it comes to last, where the loop begins, is the one
+    whose least path is greatest; and the loop is the least closed path there.
+    """
     snap = "cast(year(o_orderdate) as varchar)" if by_year else "'all'"
     join = "join orders on l_orderkey = o_orderkey" if by_year else ""
-    where = f"where l_orderkey % {thin} = 0" if thin > 1 else ""
-    seen = "select distinct snapshot_id, f as id from lines" if by_year or thin > 1 else "select 'all' as snapshot_id, p_partkey as id from part"
+    seen = "select distinct snapshot_id, f as id from lines" if by_year else "select 'all' as snapshot_id, p_partkey as id from part"
     return f"""
 with recursive lines as (select {snap} as snapshot_id, l_partkey as f, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as t, l_linenumber as line
-               from lineitem {join} {where}),
+               from lineitem {join}),
 seen as ({seen}),
 mods as (select snapshot_id, id, p_brand as brand, p_brand || '/' || p_type as dir, p_brand || '/' || p_type || '/P' || id || '.kt' as path from seen join part on p_partkey = id),
-deps as (select distinct snapshot_id, f, t, line from lines where t is not null {"and f < t" if acyclic else ""}),
+deps as (select distinct snapshot_id, f, t, line from lines where t is not null),
 edges as (select d.snapshot_id, a.path as fp, b.path as tp, a.brand as fb, b.brand as tb, a.dir as fd, b.dir as td, line
           from deps d join mods a on a.snapshot_id = d.snapshot_id and a.id = f join mods b on b.snapshot_id = d.snapshot_id and b.id = t),
 hits as (select snapshot_id, case when fb <> tb then '' else fb end as parent, case when fb <> tb then fb else fd end as dir_a, case when fb <> tb then tb else td end as dir_b,
@@ -58,12 +63,31 @@ pairs as (select snapshot_id, parent, dir_a, dir_b, depth, count(*) as weight, m
 n_mods as (select snapshot_id, count(*) as n from mods group by snapshot_id),
 circ as (select x.snapshot_id, x.parent, x.dir_a, x.dir_b, x.depth, x.weight as ab, y.weight as ba, x.one as one_ab, y.one as one_ba
          from pairs x join pairs y on x.snapshot_id = y.snapshot_id and x.dir_a = y.dir_b and x.dir_b = y.dir_a and x.dir_a < x.dir_b),
+inn as (select * from pairs where (snapshot_id, dir_a) in (select (snapshot_id, dir_b) from pairs) and (snapshot_id, dir_b) in (select (snapshot_id, dir_a) from pairs)),
+clos as (select snapshot_id, parent, dir_a as a, dir_b as b from inn union select c.snapshot_id, c.parent, c.a, i.dir_b from clos c join inn i on c.snapshot_id = i.snapshot_id and c.parent = i.parent and c.b = i.dir_a),
+comp as (select x.snapshot_id, x.parent, x.a as m, min(x.b) as rep from clos x join clos y on x.snapshot_id = y.snapshot_id and x.parent = y.parent and x.a = y.b and x.b = y.a group by all),
+loops as (select snapshot_id, parent, rep, max(depth) as depth, list(distinct i.dir_a) as members
+          from inn i join comp x using (snapshot_id, parent) join comp y using (snapshot_id, parent, rep) where x.m = i.dir_a and y.m = i.dir_b group by all
+          having sum(case when (snapshot_id, parent, i.dir_b, i.dir_a) in (select (snapshot_id, parent, dir_a, dir_b) from pairs) then 1 else 0 end) = 0),
+roots as (select l.snapshot_id, l.parent, l.rep, l.members, least(l.rep, min(c.a)) as r from loops l left join clos c on c.snapshot_id = l.snapshot_id and c.parent = l.parent and c.b = l.rep group by l.snapshot_id, l.parent, l.rep, l.members),
+walk as (select snapshot_id, parent, rep, members, r as node, [r] as way from roots
+         union all select w.snapshot_id, w.parent, w.rep, w.members, i.dir_b, list_append(w.way, i.dir_b) from walk w join inn i on i.snapshot_id = w.snapshot_id and i.parent = w.parent and i.dir_a = w.node where not list_contains(w.way, i.dir_b)),
+met as (select snapshot_id, parent, rep, members, node, min(way) as way from walk where list_contains(members, node) group by all),
+latest as (select snapshot_id, parent, rep, members, arg_max(node, way) as first from met group by all),
+round_ as (select snapshot_id, parent, rep, members, first, first as node, [first] as way from latest
+           union all select w.snapshot_id, w.parent, w.rep, w.members, w.first, i.dir_b, list_append(w.way, i.dir_b) from round_ w join inn i on i.snapshot_id = w.snapshot_id and i.parent = w.parent and i.dir_a = w.node
+                     where list_contains(w.members, i.dir_b) and not list_contains(w.way, i.dir_b)),
+closed as (select w.snapshot_id, w.parent, w.rep, min(list_append(w.way, w.first)) as path from round_ w join inn i on i.snapshot_id = w.snapshot_id and i.parent = w.parent and i.dir_a = w.node and i.dir_b = w.first group by all),
+hops as (select snapshot_id, parent, rep, path, unnest(path[:-2]) as dir_a, unnest(path[2:]) as dir_b from closed),
+told as (select snapshot_id, parent, rep, path, max(i.depth) as depth, sum(weight) as density, min(weight) as least from hops join inn i using (snapshot_id, parent, dir_a, dir_b) group by all),
 viol as (select snapshot_id, parent, dir_a, dir_b, one[1] as from_module, one[2] as to_module, one[3] as line_number, depth, weight, weight / (depth + 1.0e0) as severity, 'sibling' as direction,
                 false as is_circular, 0 as cycle_order, cast(null as varchar) as weakest_link, 0 as break_cost, weight as density from pairs
          union all
          select snapshot_id, parent, dir_a, dir_b, dir_a, dir_b, 0, depth, 0, n / (depth + 1.0e0) / 10.0e0, 'circular', true, 2,
                 case when ab <= ba then dir_a || ' -> ' || dir_b || ' (' || ab else dir_b || ' -> ' || dir_a || ' (' || ba end || case when least(ab, ba) = 1 then ' import)' else ' imports)' end, least(ab, ba), ab + ba
-         from circ join n_mods using (snapshot_id)),
+         from circ join n_mods using (snapshot_id)
+         union all
+         select snapshot_id, parent, path[1], path[-2], path[1], path[-2], 0, depth, 0, n / (depth + 1.0e0) / 10.0e0, 'circular', true, len(path) - 1, list_aggregate(list_transform(path, lambda x: regexp_extract(x, '[^/]*$')), 'string_agg', '->'), least, density from told join n_mods using (snapshot_id)),
 risk as (select *, case when direction = 'sibling' then 4.0e0 else 10.0e0 end * greatest(1, density) as rri from viol where is_circular or severity >= 0.2)
 """
 
@@ -72,13 +96,13 @@ def _load(spark: SparkSession, sf_dir: str, **how) -> graphs.Graph:
     return graphs.load(spark, sf_dir, **how)
 
 
-def _raw(spark: SparkSession, sf_dir: str, with_long_cycles: bool = True, **how) -> tuple[graphs.Graph, DataFrame]:
+def _raw(spark: SparkSession, sf_dir: str, **how) -> tuple[graphs.Graph, DataFrame]:
     g = _load(spark, sf_dir, **how)
-    return g, audits.raw_violations(g, with_long_cycles=with_long_cycles)
+    return g, audits.raw_violations(g)
 
 
-def _audit(spark: SparkSession, sf_dir: str, settings: Settings | None = None, with_long_cycles: bool = True, **how) -> audits.Audit:
-    return audits.audit(_load(spark, sf_dir, **how), settings, with_long_cycles=with_long_cycles)
+def _audit(spark: SparkSession, sf_dir: str, settings: Settings | None = None, **how) -> audits.Audit:
+    return audits.audit(_load(spark, sf_dir, **how), settings)
 
 
 def _longs(df: DataFrame, *names: str) -> DataFrame:
@@ -112,16 +136,18 @@ def sibling_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql_graph() + """
 select dir_a, dir_b, dir_a || '>' || dir_b || '>' || dir_a as cycle_path, ab || ',' || ba as hop_counts, severity, weakest_link, cast(v.break_cost as bigint) as break_cost
-from circ join viol v using (snapshot_id, dir_a, dir_b) where is_circular""")
+from circ join viol v using (snapshot_id, dir_a, dir_b) where cycle_order = 2""")
 def mutual_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, v = _raw(spark, sf_dir, with_long_cycles=False)
-    return v.where("is_circular").select("dir_a", "dir_b", F.array_join("cycle_path", ">").alias("cycle_path"), F.array_join(F.transform("cycle_hop_counts", lambda x: x.cast("string")), ",").alias("hop_counts"), "severity", "weakest_link", "break_cost")
+    _, v = _raw(spark, sf_dir)
+    return v.where("cycle_order = 2").select("dir_a", "dir_b", F.array_join("cycle_path", ">").alias("cycle_path"), F.array_join(F.transform("cycle_hop_counts", lambda x: x.cast("string")), ",").alias("hop_counts"), "severity", "weakest_link", "break_cost")
 
 
-@query()
+@query(_sql_graph(by_year=True) + """
+select snapshot_id, parent, list_aggregate(path, 'string_agg', '>') as cycle_path, cast(density as bigint) as imports, cast(least as bigint) as fewest, cast(len(path) - 1 as bigint) as length from told""")
 def n_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = coupling.sibling_pairs(_load(spark, sf_dir, by_year=True).edges())
-    return coupling.long_cycles(pairs).select("snapshot_id", "parent", F.array_join("cycle_path", ">").alias("cycle_path"), F.expr("aggregate(cycle_hop_counts, 0L, (a, x) -> a + x)").alias("imports"))
+    path = F.col("cycle_path")
+    return coupling.long_cycles(pairs).select("snapshot_id", "parent", F.array_join(path, ">").alias("cycle_path"), F.expr("aggregate(cycle_hop_counts, 0L, (a, x) -> a + x)").alias("imports"), F.array_min("cycle_hop_counts").alias("fewest"), (F.size(path) - 1).cast("long").alias("length"))
 
 
 @query(_sql_graph() + "select dir_a, dir_b, direction, cast(density as bigint) as density, rri from risk")
@@ -144,23 +170,11 @@ def _scores(a: audits.Audit) -> DataFrame:
 
 @query(_sql_graph(by_year=True) + _SCORES.format(risk="risk", xs="viol"))
 def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(_audit(spark, sf_dir, with_long_cycles=False, by_year=True))
-
-
-@query()
-def health_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``health_score`` with loops of three and more."""
     return _scores(_audit(spark, sf_dir, by_year=True))
 
 
 @query(_sql_graph(by_year=True) + _SCORES.format(risk="(select * from risk where is_circular)", xs="(select * from risk where is_circular)"))
 def actionable_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(_audit(spark, sf_dir, Settings(coupling_mode="actionable"), with_long_cycles=False, by_year=True))
-
-
-@query()
-def actionable_mode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``actionable_mode`` with loops of three and more."""
     return _scores(_audit(spark, sf_dir, Settings(coupling_mode="actionable"), by_year=True))
 
 
@@ -178,39 +192,14 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.fan_metrics(g.edges(), g.modules).drop("snapshot_id")
 
 
-_RADIUS = """
-, step as (select distinct snapshot_id, fp, tp from edges where fp <> tp),
-reached as (select snapshot_id, fp as src, tp as dst from step union select r.snapshot_id, r.src, s.tp from reached r join step s on r.snapshot_id = s.snapshot_id and r.dst = s.fp),
-counted as (select snapshot_id, dst as path, count(*) as n from reached where src <> dst group by all),
-radius as (select snapshot_id, path, cast(coalesce(n, 0) as bigint) as blast_radius from mods left join counted using (snapshot_id, path))
-"""
-
-
-@query(_sql_graph(by_year=True, thin=50) + _RADIUS + "select * from radius")
-def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _load(spark, sf_dir, by_year=True, thin=50)
-    return reach.blast_radius(g.edges(), g.modules)
-
-
 @query()
-def blast_radius_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``blast_radius`` over all orders."""
+def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _load(spark, sf_dir, by_year=True)
     return reach.blast_radius(g.edges(), g.modules)
 
 
-@query(_sql_graph(by_year=True, thin=50, acyclic=True) + """
-, step as (select distinct snapshot_id, fp, tp from edges),
-chain as (select snapshot_id, fp, tp, 1 as d from step union select c.snapshot_id, c.fp, s.tp, d + 1 from chain c join step s on c.snapshot_id = s.snapshot_id and c.tp = s.fp)
-select m.snapshot_id, cast(coalesce(max(d), 0) as bigint) as max_depth from n_mods m left join chain c using (snapshot_id) group by m.snapshot_id""")
-def critical_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _load(spark, sf_dir, by_year=True, thin=50, acyclic=True)
-    return reach.critical_path(g.edges(), g.modules).select("snapshot_id", "max_depth")
-
-
 @query()
-def critical_depth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``critical_depth`` over all orders and imports in both directions, cycles included."""
+def critical_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _load(spark, sf_dir, by_year=True)
     return reach.critical_path(g.edges(), g.modules).select("snapshot_id", "max_depth")
 
@@ -326,16 +315,11 @@ def diff_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql_graph(by_year=True) + """
-, fp as (select snapshot_id, case when is_circular then 'circular:2:' || regexp_extract(dir_a, '[^/]*$') || '->' || regexp_extract(dir_b, '[^/]*$') || '->' || regexp_extract(dir_a, '[^/]*$') else 'coupling:' || from_module || ':' || to_module end as fingerprint from risk)
+, fp as (select snapshot_id, case when cycle_order = 2 then 'circular:2:' || regexp_extract(dir_a, '[^/]*$') || '->' || regexp_extract(dir_b, '[^/]*$') || '->' || regexp_extract(dir_a, '[^/]*$')
+    when is_circular then 'circular:' || cycle_order || ':' || weakest_link else 'coupling:' || from_module || ':' || to_module end as fingerprint from risk)
 select distinct fingerprint, 'new' as status from fp where snapshot_id = '2000' and fingerprint not in (select fingerprint from fp where snapshot_id = '1999')
 union all select distinct fingerprint, 'resolved' from fp where snapshot_id = '1999' and fingerprint not in (select fingerprint from fp where snapshot_id = '2000')""")
 def baseline_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _baseline(_audit(spark, sf_dir, with_long_cycles=False, by_year=True))
-
-
-@query()
-def baseline_compare_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``baseline_compare`` with loops of three and more."""
     return _baseline(_audit(spark, sf_dir, by_year=True))
 
 
@@ -348,19 +332,13 @@ _YEARLY = """, score as (select m.snapshot_id, greatest(0.0e0, 100.0e0 * (1.0e0
 """
 
 
-def _yearly(spark: SparkSession, sf_dir: str, with_long_cycles: bool = True) -> DataFrame:
-    g, v = _raw(spark, sf_dir, with_long_cycles, by_year=True)
+def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, v = _raw(spark, sf_dir, by_year=True)
     return scoring.severity_score(v, g.modules).select("snapshot_id", F.col("severity_score").alias("score"))
 
 
 @query(_sql_graph(by_year=True) + _YEARLY + "select snapshot_id, round(score, 6) as score, round(score - lag(score) over (order by snapshot_id), 6) as delta from score")
 def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(history.trend(_yearly(spark, sf_dir, with_long_cycles=False)), "score", "delta")
-
-
-@query()
-def trend_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``trend`` with loops of three and more."""
     return _rounded(history.trend(_yearly(spark, sf_dir)), "score", "delta")
 
 
@@ -369,17 +347,10 @@ left join (select snapshot_id, split_part(dir_a, '/', 1) as module, sum(severity
 """
 
 
-@query(_sql_graph(by_year=True, thin=20) + _BY_MODULE + """
+@query(_sql_graph(by_year=True) + _BY_MODULE + """
 , d as (select *, score - last_value(score ignore nulls) over (partition by module order by snapshot_id rows between unbounded preceding and 1 preceding) as x from ms)
 select snapshot_id, module, round(score, 6) as score, case when x > 0.5 then 'up' when x < -0.5 then 'down' when x is not null then 'flat' end as arrow from d""")
 def trend_by_module(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, v = _raw(spark, sf_dir, with_long_cycles=False, by_year=True, thin=20)
-    return _rounded(history.module_trend(history.module_scores(v, g.modules)), "score")
-
-
-@query()
-def trend_by_module_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``trend_by_module`` over all orders."""
     g, v = _raw(spark, sf_dir, by_year=True)
     return _rounded(history.module_trend(history.module_scores(v, g.modules)), "score")
 
@@ -388,18 +359,12 @@ def trend_by_module_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 select c.from_module, c.to_module, cast(count(h.snapshot_id) as bigint) as seen_in, case when count(h.snapshot_id) = 0 then 'new' when count(h.snapshot_id) < 5 then 'recent' else 'chronic' end as age
 from (select distinct from_module, to_module from risk where snapshot_id = '2000') c left join (select distinct snapshot_id, from_module, to_module from viol where snapshot_id <> '2000') h using (from_module, to_module) group by all""")
 def violation_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ages(_load(spark, sf_dir, by_year=True), with_long_cycles=False)
-
-
-@query()
-def violation_age_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``violation_age`` with loops of three and more."""
     return _ages(_load(spark, sf_dir, by_year=True))
 
 
-def _ages(g: graphs.Graph, with_long_cycles: bool = True) -> DataFrame:
-    current = audits.audit(g, with_long_cycles=with_long_cycles).violations.where("snapshot_id = '2000'")
-    past = audits.raw_violations(g, with_long_cycles=with_long_cycles).where("snapshot_id <> '2000'")
+def _ages(g: graphs.Graph) -> DataFrame:
+    current = audits.audit(g).violations.where("snapshot_id = '2000'")
+    past = audits.raw_violations(g).where("snapshot_id <> '2000'")
     return _longs(history.ages(current, past), "seen_in")
 
 
@@ -409,57 +374,27 @@ select *, introduced - resolved as net from (select s as snapshot_id, cast((sele
        cast((select count(*) from p x where x.s = steps.b and not exists (select 1 from p y where y.s = steps.s and y.f = x.f and y.t = x.t)) as bigint) as resolved
 from steps where b is not null)""")
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, v = _raw(spark, sf_dir, with_long_cycles=False, by_year=True)
-    return _longs(history.velocity(v, g.modules), "introduced", "resolved", "net")
-
-
-@query()
-def velocity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``velocity`` with loops of three and more."""
     g, v = _raw(spark, sf_dir, by_year=True)
     return _longs(history.velocity(v, g.modules), "introduced", "resolved", "net")
 
 
-@query(_sql_graph(by_year=True, thin=20) + _BY_MODULE + """
+@query(_sql_graph(by_year=True) + _BY_MODULE + """
 , x as (select snapshot_id, row_number() over (order by snapshot_id) - 1 as x from n_mods)
 select module, round(coalesce(regr_slope(score, x), 0.0e0), 6) + 0.0e0 as slope, cast(count(*) as bigint) as points from ms join x using (snapshot_id) group by module""")
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, v = _raw(spark, sf_dir, with_long_cycles=False, by_year=True, thin=20)
-    return _rounded(history.trajectories(history.module_scores(v, g.modules), g.modules), "slope")
-
-
-@query()
-def trajectory_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``trajectory`` over all orders."""
     g, v = _raw(spark, sf_dir, by_year=True)
     return _rounded(history.trajectories(history.module_scores(v, g.modules), g.modules), "slope")
 
 
-@query(_sql_graph(by_year=True, thin=50) + _RADIUS + """
-, head as (select path, blast_radius from radius where snapshot_id = '2000' order by blast_radius desc, path limit 5)
-select path, h.blast_radius, p.blast_radius as previous, case when p.path is null then 'new' when h.blast_radius > p.blast_radius then 'rising' when h.blast_radius < p.blast_radius then 'falling' else 'stable' end as movement
-from head h left join (select * from radius where snapshot_id = '1999') p using (path)""")
-def risk_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _load(spark, sf_dir, by_year=True, thin=50)
-    return history.concentration(reach.blast_radius(g.edges(), g.modules), "2000", "1999")
-
-
 @query()
-def risk_concentration_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``risk_concentration`` over all orders."""
-    return history.concentration(blast_radius_whole(spark, sf_dir), "2000", "1999")
+def risk_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.concentration(blast_radius(spark, sf_dir), "2000", "1999")
 
 
 @query(_sql_graph(by_year=True) + _YEARLY + """
 , e as (select arg_min(score, snapshot_id) as a, arg_max(score, snapshot_id) as b, count(*) as n from score)
 select round(a, 6) as first_score, round(b, 6) as last_score, cast(n as bigint) as snapshots, round(b - a, 6) as change, case when b - a > 0.5 then 'improving' when b - a < -0.5 then 'degrading' else 'stable' end as direction from e""")
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(history.headline(_yearly(spark, sf_dir, with_long_cycles=False)), "first_score", "last_score", "change")
-
-
-@query()
-def headline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``headline`` with loops of three and more."""
     return _rounded(history.headline(_yearly(spark, sf_dir)), "first_score", "last_score", "change")
 
 
@@ -489,16 +424,9 @@ def external_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql_graph() + """
-, i as (select distinct fp as path, replace(regexp_extract(tp, '/(.*)\\.kt$', 1), '/', '.') as import_path, line from edges where line = 1)
+, i as (select distinct fp as path, replace(regexp_extract(tp, '/(.*)\\.kt$', 1), '/', '.') as import_path, line from edges)
 select i.path, import_path, cast(line as bigint) as line_number, m.path as to_path from i left join (select min(path) as path, regexp_extract(path, '/(.*)$', 1) as tail from mods group by tail) m on m.tail = replace(import_path, '.', '/') || '.kt'""".replace("\\\\", "\\"))
 def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _load(spark, sf_dir)
-    return _resolved(g, g.edges().where("line_number = 1"))
-
-
-@query()
-def resolve_imports_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``resolve_imports`` of all lines."""
     g = _load(spark, sf_dir)
     return _resolved(g, g.edges())
 

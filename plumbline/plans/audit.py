@@ -69,23 +69,25 @@ class Audit:
         return Audit(self.graph, self.edges, new, self.coupling_metrics, self.total_xs, self.settings, True)
 
 
-def raw_violations(graph: Graph, edges: DataFrame | None = None, with_long_cycles: bool = True) -> DataFrame:
-    """All violations before any setting applies."""
-    pairs = coupling.sibling_pairs(graph.edges() if edges is None else edges)
-    cycles = coupling.mutual_cycles(pairs)
-    if with_long_cycles:
-        cycles = cycles.unionByName(coupling.long_cycles(pairs))
-    return coupling.violations(pairs, graph.modules, cycles)
+def raw_violations(graph: Graph, edges: DataFrame | None = None) -> DataFrame:
+    """All violations before any setting applies.
+
+    The sibling pairs are written first, as they are used four times and are few
+    whatever the number of imports; the violations are, as audits ask them many questions.
+    """
+    pairs = cut(coupling.sibling_pairs(graph.edges() if edges is None else edges))
+    cycles = coupling.mutual_cycles(pairs).unionByName(coupling.long_cycles(pairs))
+    return cut(coupling.violations(pairs, graph.modules, cycles))
 
 
-def audit(graph: Graph, settings: Settings | None = None, with_long_cycles: bool = True) -> Audit:
+def audit(graph: Graph, settings: Settings | None = None) -> Audit:
     """Violations, severity filter, coupling mode, risk weights, layer weights and layer filter, in this order.
 
     With layers the severity score is final, otherwise the risk score.
     """
     settings = settings or Settings()
     edges = graph.edges()
-    raw = raw_violations(graph, edges, with_long_cycles)
+    raw = raw_violations(graph, edges)
     kept, metric_rows = scoring.split_actionable(scoring.by_severity(raw, settings.min_severity), settings.coupling_mode)
     kept, metric_rows = (scoring.with_rri(x, settings.risk_weights) for x in (kept, metric_rows))
     kept, metric_rows = (rules.apply_layer_weights(x, settings.layers) for x in (kept, metric_rows))

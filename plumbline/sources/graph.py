@@ -29,15 +29,10 @@ class Graph:
         )
 
 
-def load(spark: SparkSession, sf_dir: str, by_year: bool = False, thin: int = 1, acyclic: bool = False) -> Graph:
-    """The graph of all orders whose key is divisible by ``thin``, as one snapshot ``all`` or one per year.
-
-    ``acyclic`` keeps imports from a smaller to a larger key only.
-    """
+def load(spark: SparkSession, sf_dir: str, by_year: bool = False) -> Graph:
+    """The graph of all orders, as one snapshot ``all`` or one per year."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws("/", "p_brand", "p_type", F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit(".kt"))).alias("path"))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    if thin > 1:
-        lines = lines.where(f"l_orderkey % {thin} = 0")
     if by_year:
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.year("o_orderdate").cast("string").alias("snapshot_id"))
         lines = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).drop("o_orderkey")
@@ -45,7 +40,7 @@ def load(spark: SparkSession, sf_dir: str, by_year: bool = False, thin: int = 1,
         lines = lines.withColumn("snapshot_id", F.lit("all"))
     within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     raw = lines.select("snapshot_id", F.col("l_partkey").alias("from_id"), F.lead("l_partkey").over(within).alias("to_id"), F.col("l_linenumber").alias("line_number"))
-    deps = raw.where("to_id is not null" + (" and from_id < to_id" if acyclic else "")).distinct()
-    seen = lines.select("snapshot_id", F.col("l_partkey").alias("id")).distinct() if by_year or thin > 1 else parts.select(F.lit("all").alias("snapshot_id"), F.col("p_partkey").alias("id"))
+    deps = raw.where("to_id is not null").distinct()
+    seen = lines.select("snapshot_id", F.col("l_partkey").alias("id")).distinct() if by_year else parts.select(F.lit("all").alias("snapshot_id"), F.col("p_partkey").alias("id"))
     modules = seen.join(parts, seen["id"] == parts["p_partkey"]).select("snapshot_id", "id", "path")
     return Graph(modules, deps)

@@ -122,21 +122,21 @@ def test_loops_of_all_orders(spark, tables):
 
 def test_blast_radius_of_all_orders(spark, tables):
     expected = {y: radius(y) for y in CHAINS}
-    assert {(r.snapshot_id, r.path): r.blast_radius for r in rows(spark, tables, "blast_radius_whole")} == {(y, p): n for y, x in expected.items() for p, n in x.items()}
+    assert {(r.snapshot_id, r.path): r.blast_radius for r in rows(spark, tables, "blast_radius")} == {(y, p): n for y, x in expected.items() for p, n in x.items()}
     head = sorted(expected["2000"].items(), key=lambda x: (-x[1], x[0]))[:5]
-    assert sorted((r.path, r.blast_radius, r.previous) for r in rows(spark, tables, "risk_concentration_whole")) == sorted((p, n, expected["1999"].get(p)) for p, n in head)
+    assert sorted((r.path, r.blast_radius, r.previous) for r in rows(spark, tables, "risk_concentration")) == sorted((p, n, expected["1999"].get(p)) for p, n in head)
 
 
 def test_module_history_of_all_orders(spark, tables):
     expected = {(y, m): s for y in CHAINS for m, s in module_scores(y).items()}
-    assert {(r.snapshot_id, r.module): r.score for r in rows(spark, tables, "trend_by_module_whole")} == pytest.approx(expected, abs=1e-6)
+    assert {(r.snapshot_id, r.module): r.score for r in rows(spark, tables, "trend_by_module")} == pytest.approx(expected, abs=1e-6)
     lines = {}
     for m in {m for _, m in expected}:
         points = [(x, expected[y, m]) for x, y in enumerate(sorted(CHAINS)) if (y, m) in expected]
         mx, my = (sum(v) / len(points) for v in zip(*points))
         spread = sum((x - mx) ** 2 for x, _ in points)
         lines[m] = (sum((x - mx) * (y - my) for x, y in points) / spread if spread else 0.0, len(points))
-    assert {r.module: (pytest.approx(r.slope, abs=1e-5), r.points) for r in rows(spark, tables, "trajectory_whole")} == lines
+    assert {r.module: (pytest.approx(r.slope, abs=1e-5), r.points) for r in rows(spark, tables, "trajectory")} == lines
 
 
 def test_reaching_counts_by_blocks(monkeypatch):
@@ -157,34 +157,27 @@ def test_reaching_counts_by_blocks(monkeypatch):
 
 def test_scores_count_longer_loops(spark, tables):
     scores = {y: max(0.0, 100.0 * (1 - sum(x for _, x in severities(y)) / len(files(y)))) for y in CHAINS}
-    assert {r.snapshot_id: r.score for r in rows(spark, tables, "trend_whole")} == pytest.approx(scores, abs=1e-6)
-    (r,) = rows(spark, tables, "headline_whole")
+    assert {r.snapshot_id: r.score for r in rows(spark, tables, "trend")} == pytest.approx(scores, abs=1e-6)
+    (r,) = rows(spark, tables, "headline")
     assert (r.first_score, r.last_score, r.snapshots) == (pytest.approx(scores["1999"], abs=1e-6), pytest.approx(scores["2001"], abs=1e-6), 3)
     kept = {y: sum(x for _, x in severities(y) if x >= 0.2) for y in CHAINS}  # the audit's least severity
-    assert {r.snapshot_id: r.severity_score for r in rows(spark, tables, "health_score_whole")} == pytest.approx({y: max(0.0, 100.0 * (1 - kept[y] / len(files(y)))) for y in CHAINS}, abs=1e-6)
+    assert {r.snapshot_id: r.severity_score for r in rows(spark, tables, "health_score")} == pytest.approx({y: max(0.0, 100.0 * (1 - kept[y] / len(files(y)))) for y in CHAINS}, abs=1e-6)
 
 
 def test_history_knows_longer_loops(spark, tables):
-    changes = {(r.fingerprint, r.status) for r in rows(spark, tables, "baseline_compare_whole")} - {(r.fingerprint, r.status) for r in rows(spark, tables, "baseline_compare")}
     old, new = ({frozenset(d.split("/")[-1] for d in m) for _, m in loops(y)} for y in ("1999", "2000"))  # fingerprints have base names
-    assert len(changes) == len(old ^ new) > 0 and all(f.startswith("circular:") for f, _ in changes)
-    more = {(r.from_module, r.to_module) for r in rows(spark, tables, "violation_age_whole")} - {(r.from_module, r.to_module) for r in rows(spark, tables, "violation_age")}
-    assert len(more) == len(loops("2000")) and not any(m.endswith(".kt") for pair in more for m in pair)
-    seen = [{(y, p, m) for p, m in loops(y)} for y in sorted(CHAINS)]
-    extra = [a.introduced + a.resolved - b.introduced - b.resolved for a, b in zip(*(sorted(rows(spark, tables, n)) for n in ("velocity_whole", "velocity")))]
-    assert extra == [len({x[1:] for x in a} ^ {x[1:] for x in b}) for a, b in zip(seen, seen[1:])]
-
-
-def test_actionable_mode_keeps_longer_loops(spark, tables):
-    whole, bound = ({r.snapshot_id: r.total_xs or 0 for r in rows(spark, tables, n)} for n in ("actionable_mode_whole", "actionable_mode"))
-    assert whole["1999"] > bound["1999"]
+    changes = [r.fingerprint for r in rows(spark, tables, "baseline_compare") if r.fingerprint.startswith("circular:") and not r.fingerprint.startswith("circular:2:")]
+    assert len(changes) == len(old ^ new) > 0
+    ages = [r for r in rows(spark, tables, "violation_age") if not r.from_module.endswith(".kt")]
+    mutual = [k for k in pairs("2000") if k[1] < k[2] and (k[0], k[2], k[1]) in pairs("2000")]
+    assert len(ages) == len(loops("2000")) + len(mutual)
 
 
 def test_imports_of_all_lines_are_resolved(spark, tables):
     expected = sorted({(path(a), f"{PARTS[b][1]}.P{b}", n, path(b)) for y in CHAINS for a, b, n in imports(y)})
-    assert sorted(tuple(r) for r in rows(spark, tables, "resolve_imports_whole")) == expected and {n for _, _, n, _ in expected} > {1}
+    assert sorted(tuple(r) for r in rows(spark, tables, "resolve_imports")) == expected and {n for _, _, n, _ in expected} > {1}
 
 
 def test_critical_depth_of_cyclic_graphs(spark, tables):
     expected = {y: max(brute_depth({n: {b for a, b, _ in imports(y) if a == n} for n in files(y)}).values()) for y in CHAINS}
-    assert {r.snapshot_id: r.max_depth for r in rows(spark, tables, "critical_depth_whole")} == expected and max(expected.values()) >= 3
+    assert {r.snapshot_id: r.max_depth for r in rows(spark, tables, "critical_depth")} == expected and max(expected.values()) >= 3
