@@ -16,6 +16,7 @@ from plumbline.operators import actions, coupling, history, imports, metrics, re
 from plumbline.plans import audit as audits
 from plumbline.plans.settings import Layer, ModuleConfig, Rule, Settings
 from plumbline.sources import graph as graphs
+from plumbline.sources import rendered
 
 #: The configuration that the queries on layers, rules and monorepos use.
 LAYERS = [Layer("top", "Brand#1*/**"), Layer("middle", "Brand#2*/**", True, 2.5), Layer("low", "Brand#{3,4,5}/**")]
@@ -438,6 +439,37 @@ def _resolved(g: graphs.Graph, edges: DataFrame) -> DataFrame:
     return _longs(imports.resolve(named.withColumn("tries", tries), g.modules.select("path")).select("path", "import_path", "line_number", "to_path"), "line_number")
 
 
+def _scan_sql(language: str) -> str:
+    how = rendered.LANGUAGES[language]
+    kind = "upper(p_type[1]) || lower(p_type[2:])" if how.capitals else "lower(p_type)"
+    src, b, p = ("Src", "B", "P") if how.capitals else ("src", "b", "p")
+    return f"""
+with lines as (select l_partkey as f, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as t from lineitem),
+files as (select p_partkey as id, '{src}/{b}' || p_brand[7:] || '/' || {kind} || '/{p}' || p_partkey || '.{how.extension}' as path from part),
+steps as (select f, t, row_number() over (partition by f order by t) as n from (select distinct f, t from lines join part on p_partkey = f where t in (select p_partkey from part)))
+select x.path, 'import' as kind, y.path as target, cast(n + 1 as bigint) as number from steps join files x on x.id = f join files y on y.id = t
+union all select path, 'external', null, 1 from files
+union all select path, 'suppressed', null, 1 from files where id in (select f from steps)"""
+
+
+def _scan(language: str):
+    def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        deps, external, suppressed = imports.scan(rendered.source_texts(spark, sf_dir, language))
+        none = F.lit(None).cast("string")
+        found = deps.select(F.col("from_path").alias("path"), F.lit("import").alias("kind"), F.col("to_path").alias("target"), F.col("line_number").cast("long").alias("number"))
+        for name, counts in (("external", external), ("suppressed", suppressed)):
+            found = found.unionByName(counts.select("path", F.lit(name).alias("kind"), none.alias("target"), F.col("count").alias("number")))
+        return found
+
+    scan.__name__ = f"scan_{language}"
+    scan.__doc__ = f"The graph, read back from its files in {language}: imports, external imports and suppressed ones."
+    return scan
+
+
+for _language in rendered.LANGUAGES:
+    query(_scan_sql(_language))(_scan(_language))
+
+
 @query(r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where text is not null),
 b as (select *, lag(line) over (partition by doc_id order by n) as p from l)

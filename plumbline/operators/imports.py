@@ -42,22 +42,33 @@ def suppressed_lines(sources: DataFrame, marker: str = MARKER) -> DataFrame:
 def resolve(imports: DataFrame, known: DataFrame) -> DataFrame:
     """``imports`` with ``to_path``: the first module of ``known`` (path) that the first fitting candidate names; null if none does.
 
-    Every way of fitting is an equi-join: exact paths on the path, suffixes with
-    a directory on the base name, bare suffixes on the tails of base names, and
-    Go packages on the directories that a file lies below.
+    Every way of fitting is an equi-join: exact paths on the path; suffixes of
+    three components and more on the last two, which have to be whole; shorter
+    ones on the tails of the file's last components, spelt out; and Go packages
+    on the directories that a file lies below. So names that every directory has
+    (``__init__.py``, ``mod.rs``) meet only where their directories do.
     """
     tried = imports.select("path", "import_path", "line_number", F.posexplode("tries").alias("priority", "_t")).select("path", "import_path", "line_number", "priority", "_t.how", "_t.text")
     names = known.select(F.col("path").alias("to_path"), base_name("path").alias("_base"))
     keys = ["path", "import_path", "line_number", "priority", "to_path"]
     exact = tried.where("how = 'exact'").join(names.drop("_base"), F.col("text") == F.col("to_path")).select(keys)
-    deep = tried.where("how = 'suffix' and text like '%/%'").withColumn("_base", base_name("text")).join(names, "_base").where(F.col("to_path").endswith(F.col("text"))).select(keys)
-    tails = names.select("to_path", F.explode(F.transform(F.sequence(F.lit(1), F.length("_base")), lambda i: F.substr(F.col("_base"), i))).alias("text"))
-    bare = tried.where("how = 'suffix' and text not like '%/%'").join(tails, "text").select(keys)
+    suffixes = tried.where("how = 'suffix'").withColumn("_n", F.size(F.split("text", "/")))
+    two = names.select("to_path", F.substring_index("to_path", "/", -2).alias("_two"))
+    deep = suffixes.where("_n > 2").withColumn("_two", F.substring_index("text", "/", -2)).join(two, "_two").where(F.col("to_path").endswith(F.col("text"))).select(keys)
+
+    def tails(name, rest):
+        return F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substr(name, i), rest))
+
+    above = F.element_at(F.split("to_path", "/"), -2)
+    inside = names.where("to_path like '%/%'").select("to_path", F.explode(tails(above, F.concat(F.lit("/"), "_base"))).alias("text"))
+    short = names.select("to_path", F.explode(tails(F.col("_base"), F.lit(""))).alias("text"))
+    near = suffixes.where("_n = 2").join(inside, "text").select(keys)
+    bare = suffixes.where("_n = 1").join(short, "text").select(keys)
     p = F.split("to_path", "/")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size(p) - 2), lambda i: F.transform(F.sequence(F.lit(1), F.size(p) - 1 - i), lambda n: F.array_join(F.slice(p, i + 1, n), "/"))))
     below = names.where(F.col("to_path").endswith(".go") & (F.size(p) > 2)).select("to_path", F.explode(spans).alias("text")).distinct()
     within = tried.where("how = 'within'").join(below, "text").select(keys)
-    fits = exact.unionByName(deep).unionByName(bare).unionByName(within)
+    fits = exact.unionByName(deep).unionByName(near).unionByName(bare).unionByName(within)
     best = fits.groupBy("path", "import_path", "line_number").agg(F.min(F.struct("priority", F.split("to_path", "/").alias("_o"), "to_path")).alias("_b"))
     return imports.join(best.select("path", "import_path", "line_number", F.col("_b.to_path").alias("to_path")), ["path", "import_path", "line_number"], "left")
 
