@@ -12,6 +12,7 @@ import argparse
 import datetime
 import os
 import sys
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,28 +60,28 @@ def only(graph: Graph, snapshot_id: str, module: str | None = None) -> Graph:
     return Graph(modules, deps)
 
 
-def render(audit: audits.Audit, graph: Graph, s: reports.Summary, form: str) -> dict[str, str]:
-    """Documents of one format by file name; ``s`` is the audit's summary of its snapshot."""
+def render(audit: audits.Audit, graph: Graph, s: reports.Summary, form: str, order: DataFrame | None = None) -> Iterable[tuple[str, str | Iterator[str]]]:
+    """(file name, text or its pieces) of the documents of one format; ``s`` is the audit's summary of its snapshot."""
     settings = audit.settings
     if form == "sonar":
-        return {"sonar.json": reports.to_sonar(rollup.sonar_issues(audit.violations))}
+        return [("sonar.json", reports.to_sonar(rollup.sonar_issues(audit.violations)))]
     if form in ("mermaid", "dot"):
-        return {f"graph.{'mmd' if form == 'mermaid' else 'dot'}": (reports.to_mermaid if form == "mermaid" else reports.to_dot)(rollup.directory_graph(audit.violations))}
+        return [(f"graph.{'mmd' if form == 'mermaid' else 'dot'}", (reports.to_mermaid if form == "mermaid" else reports.to_dot)(rollup.directory_graph(audit.violations)))]
     if form == "bundle":
-        return {"bundle.html": reports.to_bundle(audit, s.snapshot_id)}
+        return [("bundle.html", reports.to_bundle(audit, s.snapshot_id))]
     if form == "strategy":
         raw = audits.raw_violations(graph)
         scores = scoring.severity_score(raw, graph.modules).select("snapshot_id", F.col("severity_score").alias("score"))
-        return {"strategy.html": reports.to_strategy(scores, raw, graph.modules)}
+        return [("strategy.html", reports.to_strategy(scores, raw, graph.modules, order))]
     if form == "markdown":
         return reports.to_markdown(s)
     if form == "html":
         return reports.to_html(s, settings.green_score, settings.yellow_score)
     if form == "pr":
-        return {"pr.md": reports.to_pull_request(s, None)}
+        return [("pr.md", reports.to_pull_request(s, None))]
     one = {"text": ("audit.txt", reports.to_text), "json": ("audit.json", reports.to_json), "xml": ("audit.xml", reports.to_xml), "dashboard": ("dashboard.html", reports.to_dashboard), "briefing": ("briefing.md", reports.to_briefing)}
     name, make = one[form]
-    return {name: make(s)}
+    return [(name, make(s))]
 
 
 def _arguments(argv: list[str]) -> argparse.Namespace:
@@ -125,12 +126,13 @@ def main(argv: list[str] | None = None) -> int:
     graph, snapshots = load(spark, args.store)
     newest = snapshots.orderBy(F.col("snap_seq").desc()).first()
     snapshot_id = args.snapshot or newest["id"]
+    order = snapshots.select(F.col("id").alias("snapshot_id"), "snap_seq")
     if args.verb == "trend":
         raw = audits.raw_violations(graph)
         if args.by_module:
-            history.module_trend(history.module_scores(raw, graph.modules)).orderBy("module", "snapshot_id").show(200, False)
+            history.module_trend(history.module_scores(raw, graph.modules), order=order).orderBy("module", "snapshot_id").show(200, False)
         else:
-            history.trend(scoring.severity_score(raw, graph.modules).select("snapshot_id", F.col("severity_score").alias("score")), args.last).orderBy("snapshot_id").show(args.last, False)
+            history.trend(scoring.severity_score(raw, graph.modules).select("snapshot_id", F.col("severity_score").alias("score")), args.last, order).join(order, "snapshot_id").orderBy("snap_seq").drop("snap_seq").show(args.last, False)
         return 0
     one = only(graph, snapshot_id, getattr(args, "module", None))
     audit = audits.audit(one, settings)
@@ -159,11 +161,11 @@ def main(argv: list[str] | None = None) -> int:
     failures = 0
     for form in FORMATS if args.format == "all" else [args.format]:
         try:
-            for name, text in render(audit, graph, summary, form).items():
+            for name, text in render(audit, graph, summary, form, order):
                 path = os.path.join(args.out, form if form in ("markdown", "html") else "", name)
                 os.makedirs(os.path.dirname(path), exist_ok=True)
                 with open(path, "w") as f:
-                    f.write(text)
+                    f.writelines([text] if isinstance(text, str) else text)
         except OSError as error:
             failures += 1
             print(f"{form}: {error}", file=sys.stderr)

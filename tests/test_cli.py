@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import cli
+from plumbline.operators import history
 from plumbline.sinks import reports
 from plumbline.sources import files
 from plumbline.streaming.snapshots import audit_stream
@@ -65,6 +67,30 @@ def test_all_reports(spark, project):
         assert (out / name).stat().st_size > 50
 
 
+def test_documents_hold_every_row(spark, project, monkeypatch):
+    monkeypatch.setattr(reports, "SHOWN", 1)
+    store, settings, out = project
+    assert cli.main(["report", "all", "--store", store, "--settings", settings, "--out", str(out / "few")]) == 0
+    few = out / "few"
+    for name in ("audit.json", "sonar.json", "audit.xml", "graph.dot", "graph.mmd", "bundle.html", "markdown/src/index.md"):
+        assert (few / name).read_text() == (out / name).read_text(), name
+    data = json.loads((few / "audit.json").read_text())
+    assert len(data["violations"]) == 4
+    assert len(json.loads((few / "sonar.json").read_text())["issues"]) == 4
+    page = (few / "bundle.html").read_text()
+    assert len(json.loads(page.split("const data=")[1].split(";document")[0])["edges"]) == 3
+
+
+def test_history_follows_the_sequence_not_the_names(spark):
+    scores = spark.createDataFrame([("v9", 50.0), ("v10", 70.0), ("v11", 60.0)], "snapshot_id string, score double")
+    order = spark.createDataFrame([("v9", 1), ("v10", 2), ("v11", 3)], "snapshot_id string, snap_seq long")
+    assert {r.snapshot_id: r.delta for r in history.trend(scores, order=order).collect()} == {"v9": None, "v10": 20.0, "v11": -10.0}
+    assert (history.headline(scores, order=order).first().first_score, history.headline(scores, order=order).first().last_score) == (50.0, 60.0)
+    by_module = scores.select("snapshot_id", F.lit("m").alias("module"), "score")
+    assert {r.snapshot_id: r.arrow for r in history.module_trend(by_module, order=order).collect()} == {"v9": None, "v10": "up", "v11": "down"}
+    assert history.trajectories(by_module, scores, order).first().slope == pytest.approx(5.0)
+
+
 def test_trend(spark, project, capsys):
     store, settings, _ = project
     assert cli.main(["trend", "--store", store, "--settings", settings]) == 0
