@@ -18,18 +18,22 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from .arrow import slices
+from plumbline.plans.runtime import cut
 
-#: Labelled rows that training may use, of each label; the rows of smallest hash are taken.
-TRAIN_ROWS = 1500
+from .arrow import release, slices
+from .columns import clear_of
+
+#: Labelled rows, and bytes of their texts, that training may use of each label; the rows of smallest hash are taken.
+TRAIN_ROWS, TRAIN_BYTES = 1500, 32 << 20
 #: Landmarks; length of subsequences; weight of each character spanned; kernel values below the floor count as none.
 LANDMARKS, ORDER, DECAY, FLOOR = 48, 3, 0.7, 0.45
 #: Evidence that a landmark needs: the likelihood ratio statistic of its share of the words of toxic and of clean rows,
@@ -181,7 +185,24 @@ def document_features(margins: dict[str, float], words: list[str], least: float)
     return [*top, float(np.log1p(sum(margins[w] > 0 for w in near))), float(np.log1p(len(words)))]
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], n: int = LANDMARKS) -> list[str]:
+def _flat(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces' characters one after another; of each, its piece and where that ends."""
+    lengths = np.fromiter(map(len, pieces), np.int32, len(pieces))
+    flat = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return flat, np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), np.repeat(np.cumsum(lengths, dtype=np.int32), lengths)
+
+
+def _grams(flat: np.ndarray, last: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where strings of ``k`` characters begin that stay inside a piece, and a hash of each."""
+    at = np.flatnonzero(np.arange(len(flat), dtype=np.int32) + k <= last).astype(np.int32)
+    code = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        code *= np.uint64(0x9E3779B97F4A7C15)
+        code += flat[at + j]
+    return at, code
+
+
+def choose_landmarks(toxic: Iterable[set[str]], clean: Iterable[set[str]], n: int = LANDMARKS) -> list[str]:
     """Strings of four to eight characters (marks of word ends included) that tell the words of toxic rows from those of clean ones.
 
     Candidates that no clean row holds and that begin a word come first, then by likelihood ratio, of equal ones the longest; a longer string with nearly the evidence replaces a shorter one. One
@@ -191,26 +212,28 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], n: int = LAND
     for c, docs in zip(counts, (toxic, clean)):
         for d in docs:
             c.update(p for w in d for p in _pieces(w))
-    pieces = sorted(counts[0].keys() | counts[1].keys())
-    if not pieces:
+    if not counts[0]:
         return []
-    weight = np.array([np.fromiter((c[p] for p in pieces), float, len(pieces)) for c in counts])
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    flat = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+    total = [sum(c.values()) for c in counts]
+    own = sorted(counts[0])  # a string that no toxic row holds is no candidate, so only these pieces' are listed
+    weight = [np.fromiter((c[p] for p in own), float, len(own)) for c in counts]
+    rest = sorted(counts[1].keys() - counts[0].keys())
+    rest_weight = np.fromiter((counts[1][p] for p in rest), float, len(rest))
     del counts
-    owner, last = np.repeat(np.arange(len(pieces)), lengths), np.repeat(np.cumsum(lengths), lengths)
-    total = weight.sum(1)
-    candidates: list[tuple[int, float, int, str]] = []
+    flat, owner, last = _flat(own)
+    candidates: list[tuple[float, float, int, str]] = []
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for k in range(4, 9):
-        at = np.flatnonzero(np.arange(len(flat)) + k <= last)
-        code = np.zeros(len(at), np.uint64)
-        for j in range(k):
-            code *= np.uint64(0x9E3779B97F4A7C15)
-            code += flat[at + j]
-        _, first, group = np.unique(code, return_index=True, return_inverse=True)
-        a, c = (np.bincount(group, w[owner[at]]) for w in weight)
-        share = (a + c) / total.sum()
+        at, code = _grams(flat, last, k)
+        known, first, group = np.unique(code, return_index=True, return_inverse=True)
+        a, c = (np.bincount(group, w[owner[at]], len(known)) for w in weight)
+        for i in range(0, len(rest), 1 << 15):
+            flat_, owner_, last_ = _flat(rest[i : i + (1 << 15)])
+            at_, code_ = _grams(flat_, last_, k)
+            place = np.minimum(np.searchsorted(known, code_), max(0, len(known) - 1))
+            met = known[place] == code_ if len(known) else np.zeros(len(code_), bool)
+            c += np.bincount(place[met], rest_weight[i + owner_[at_[met]]], len(known))
+        share = (a + c) / sum(total)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = 2 * (np.where(a > 0, a * np.log(a / (total[0] * share)), 0) + np.where(c > 0, c * np.log(c / (total[1] * share)), 0))
         good = np.flatnonzero((a / total[0] > RATIO * c / max(1, total[1])) & (ratio > EVIDENCE))
@@ -224,7 +247,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], n: int = LAND
             candidates.append((bool(c[g] == 0) + (text[0] == "^"), round(float(ratio[g]), 3), k, text))
             held[text] = (members, weight[0][members])
     chosen: list[str] = []
-    explained = np.zeros(len(pieces), bool)
+    explained = np.zeros(len(own), bool)
     least = PART * max((x[1] for x in candidates), default=0)
     for _, evidence, _, g in sorted(candidates, reverse=True):
         if len(chosen) == n:
@@ -262,13 +285,15 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     toxic = np.array([t for _, t in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return flat
-    bags = [{w for s in d for w in s} for d in sentences]
-    landmarks = choose_landmarks([b for b, t in zip(bags, toxic) if t], [b for b, t in zip(bags, toxic) if not t])
+
+    def words_with(label: bool) -> Iterator[set[str]]:
+        return ({w for s in d for w in s} for d, t in zip(sentences, toxic) if t == label)
+
+    landmarks = choose_landmarks(words_with(True), words_with(False))
     if not landmarks:
         return flat
     features = Features(landmarks)
-    known = features.of(sorted(set().union(*bags)))
-    del bags
+    known = features.of(sorted({w for d in sentences for s in d for w in s}))
     gram = np.array([kernel(landmarks, z) for z in landmarks])
     gram /= np.sqrt(np.outer(np.diag(gram), np.diag(gram)))
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -314,49 +339,94 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> list[tuple[str, int]]:
-    """At most ``limit`` rows of each label that aren't held out, by the smallest hashes of their ids; several labels of a document count as the worst."""
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, limit_bytes: int = TRAIN_BYTES) -> list[tuple[str, int]]:
+    """At most ``limit`` rows and ``limit_bytes`` bytes of each label that aren't held out.
+
+    Rows are taken by the smallest hashes of their ids, whole texts only; one
+    that doesn't fit any more is passed over. Several labels of a document count
+    as the worst, and of several texts with its id the first by text stands.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     chosen = [known.where(f"toxic = {t}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for t in (0, 1)]
     some = chosen[0].unionByName(chosen[1])
     met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null")
-    rows = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return [(r["text"], r["toxic"]) for r in rows.collect()]
+    rows = cut(met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")))
+    held, fitting = [0, 0], []
+    for r in rows.select("doc_id", "toxic", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if held[r["toxic"]] + r["n"] <= limit_bytes:
+            held[r["toxic"]] += r["n"]
+            fitting.append(r["doc_id"])
+    return [(r["text"], r["toxic"]) for r in rows.where(F.col("doc_id").isin(fitting)).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
+    """``fit`` on ``training_rows``; what that took of the driver's memory is given back."""
+    model = fit(training_rows(docs, labels, limit))
+    release()
+    return model
+
+
+class Scorer:
+    """Scores texts one slice after another, remembering the kernel values of words it has met."""
+
+    def __init__(self, model: Model):
+        self.model, self.features = model, Features(model.landmarks)
+        self.seen: set[str] = set()
+        self.near: dict[str, float] = {}
+
+    def of(self, rows: list[str]) -> tuple[np.ndarray, list[list[str]]]:
+        """(scores, words) of texts."""
+        words = [words_of(text) for text in rows]
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.near = set(), {}
+        new = set().union(*words) - self.seen
+        self.seen |= new
+        if self.model.landmarks and (found := self.features.of(sorted(new))):
+            self.near.update(zip(found, self.model.margins(np.array(list(found.values()))).tolist()))
+        return self.model.score(np.array([document_features(self.near, ws, self.model.bias) for ws in words])), words
+
+    def worst_sentence(self, text: str) -> str:
+        margins = ((max((self.near[w] for w in words_of(s) if w in self.near), default=self.model.bias), s.strip()) for s in _SENTENCE.split(text))
+        return max(margins, key=lambda x: x[0])[1]
+
+
+def _rows(batch: pa.RecordBatch) -> list[str]:
+    return [x or "" for x in batch.column("text").to_pylist()]
+
+
+ADDED = ("score", "predicted", "worst_sentence")
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with the columns ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``worst_sentence`` (of predicted rows).
 
-    Whole texts are read; null and empty ones score as texts without any telling word.
+    Whole texts are read; null and empty ones score as texts without any telling
+    word. A column of ``docs`` that has one of these names is called ``<name>_input``.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted", "worst_sentence")]
+    given = clear_of(docs, ADDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(model.landmarks)
-        seen: set[str] = set()
-        near: dict[str, float] = {}
+        scorer = Scorer(model)
         for batch in slices(batches, "text", 2 << 20):
-            rows = [x or "" for x in batch.column("text").to_pylist()]
-            words = [words_of(text) for text in rows]
-            if len(seen) > REMEMBERED:
-                seen, near = set(), {}
-            new = set().union(*words) - seen
-            seen |= new
-            if model.landmarks and (found := features.of(sorted(new))):
-                near.update(zip(found, model.margins(np.array(list(found.values()))).tolist()))
-            scores = model.score(np.array([document_features(near, ws, model.bias) for ws in words]))
-            worst = []
-            for text, ws, score in zip(rows, words, scores):
-                if score < 0.5:
-                    worst.append(None)
-                    continue
-                margins = [(max((near[w] for w in words_of(s) if w in near), default=model.bias), s.strip()) for s in _SENTENCE.split(text)]
-                worst.append(max(margins, key=lambda x: x[0])[1])
-            columns = [batch.column(c) for c in keep] + [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(worst, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted", "worst_sentence"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(run, f"{schema}, score double, predicted int, worst_sentence string")
+            rows = _rows(batch)
+            scores, _ = scorer.of(rows)
+            worst = [scorer.worst_sentence(text) if score >= 0.5 else None for text, score in zip(rows, scores)]
+            columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(worst, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *ADDED])
+
+    schema = StructType([*given.schema, StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("worst_sentence", StringType())])
+    return given.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that ``model`` doesn't predict toxic, with all of their columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in slices(batches, "text", 2 << 20):
+            yield batch.filter(pa.array(scorer.of(_rows(batch))[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
@@ -366,6 +436,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Dat
     doc_id stays null; repeated rows give repeated rows; other columns are
     ignored; with no usable labels every text scores alike, below 0.5.
     """
-    model = fit(training_rows(docs, labels, limit))
+    model = train(docs, labels, limit)
     found = with_scores(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "worst_sentence")

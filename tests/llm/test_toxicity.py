@@ -74,3 +74,23 @@ def test_awkward_tables(spark):
     assert len(rows) == 10 and not any(r.predicted for r in rows)
     odd = spark.createDataFrame([(None, 1), (1, None), (1, 1), (1, 0), (5, 0), (99, 1), (2, 1)], "doc_id long, toxic int")
     assert toxicity.toxicity(awkward(spark), odd).count() == 10
+
+
+def test_input_columns_stay(spark):
+    docs = documents(spark, [(1, "fine words here"), (2, "you dimwit")], "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string")
+    rows = [(f"calm text number {k} about trees", 0) for k in range(60)] + [(f"you dimwit number {k}, go", 1) for k in range(60)]
+    model = toxicity.fit(rows)
+    scored = toxicity.with_scores(docs, model)
+    assert scored.columns == ["doc_id", "text", "lang", "source", "n_chars", "score_input", "predicted_input", "score", "predicted", "worst_sentence"]
+    assert {(r.doc_id, r.score_input, r.predicted) for r in scored.collect()} == {(1, "x", 0), (2, "x", 1)}
+    kept = toxicity.clean(docs, model)
+    assert kept.columns == docs.columns and [(r.doc_id, r.score, r.predicted) for r in kept.collect()] == [(1, "x", "x")]
+
+
+def test_training_texts_are_bounded_in_bytes(spark):
+    docs = documents(spark, [(i, "x" * (100 * (i % 5 + 1))) for i in range(200)])
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    some = toxicity.training_rows(docs, labels, limit_bytes=2000)
+    assert all(1500 < sum(len(t) for t, x in some if x == label) <= 2000 for label in (0, 1))
+    every = toxicity.training_rows(docs, labels)
+    assert set(some) <= set(every) and len(every) > len(some)
