@@ -22,6 +22,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", round
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node"))
     # each edge points from the larger to the smaller end
     state = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    n = state.count()
     for _ in range(rounds):
         # large star: each node links its larger neighbours to the smallest one it knows
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,7 +34,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", round
         new = rewired.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(rewired.select("u", F.col("m").alias("v"))).distinct()
         new = cut(new)
         # a forest of stars: one parent per node, and no parent has one itself
-        stable = new.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first() == state.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
+        before, n = n, new.count()
+        stable = n == before and new.join(state, ["u", "v"], "left_anti").isEmpty()
         state = new
         if stable:
             break
