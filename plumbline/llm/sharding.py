@@ -20,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.plans.runtime import cut
+from plumbline.plans.runtime import cut, stored
+
+from .columns import clear_of, column, columns, fresh
 
 #: Bytes a row takes besides its text.
 ROW_BYTES = 16
@@ -104,7 +106,10 @@ def assign_groups(groups: DataFrame, n_shards: int, fan_in: int = FAN_IN) -> Dat
 
 
 def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, text_crc32, k1, k2) of each row and its columns ``keep``; equal texts have equal keys, null is a text of its own."""
+    """(doc_id, size, text_crc32, k1, k2) of each row and its columns ``keep``; equal texts have equal keys, null is a text of its own.
+
+    ``keep`` must name none of the columns that are made here.
+    """
     text = F.col("text")
     return docs.select(
         "doc_id",
@@ -112,7 +117,7 @@ def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
         F.xxhash64(F.when(text.isNull(), F.lit(0)).otherwise(F.lit(1)), text).alias("k2"),
-        *keep,
+        *(column(c) for c in keep),
     )
 
 
@@ -144,4 +149,20 @@ def shard(docs: DataFrame, n_shards: int = 40, fan_in: int = FAN_IN, keep: tuple
     rows = cut(keyed(docs, keep))
     groups = cut(rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")))
     placed = assign_groups(groups, n_shards, fan_in)
-    return slots(rows.join(placed, ["k1", "k2"])).select("doc_id", "size", "text_crc32", "shard", "slot", *keep)
+    return slots(rows.join(placed, ["k1", "k2"])).select("doc_id", "size", "text_crc32", "shard", "slot", *(column(c) for c in keep))
+
+
+ADDED = ("size", "text_crc32", "shard", "slot")
+
+
+def sharded(docs: DataFrame, n_shards: int = 40, fan_in: int = FAN_IN) -> DataFrame:
+    """``docs`` with all of its columns, and ``size``, ``text_crc32``, ``shard`` and ``slot`` as ``shard`` gives them.
+
+    A column of ``docs`` that has one of these names is called ``<name>_input``.
+    Rows are numbered as they are written to the shared folder, so that texts
+    move once, to meet their shards, and not with every step of the differencing.
+    """
+    row = fresh("_row", docs)
+    given = stored(clear_of(docs, ADDED).withColumn(row, F.monotonically_increasing_id()))
+    found = shard(given, n_shards, fan_in, (row,)).select(column(row), *ADDED)
+    return given.join(found, row).select(*(c for c, name in zip(columns(given), given.columns) if name != row), *ADDED)

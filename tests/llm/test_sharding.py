@@ -59,3 +59,15 @@ def test_awkward_tables(spark):
     assert sharding.shard(empty(spark)).count() == 0
     rows = sharding.shard(awkward(spark), n_shards=3).collect()
     assert len(rows) == 10 and len({r.shard for r in rows if r.size == 16 and r.doc_id == 2 or r.size == 16 and r.doc_id is None}) == 1
+
+
+def test_whole_rows_go_to_their_shards(spark):
+    docs = awkward(spark)
+    found = sharding.sharded(docs, n_shards=3)
+    assert found.columns == [{"size": "size_input", "shard": "shard_input", "slot": "slot_input"}.get(c, c) for c in docs.columns] + list(sharding.ADDED)
+    rows = found.collect()
+    plain = sorted((r.doc_id or -1, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard(docs, n_shards=3).collect())
+    assert sorted((r.doc_id or -1, r.size, r.text_crc32, r.shard, r.slot) for r in rows) == plain
+    assert sorted((r.doc_id or -1, r.text or "") for r in rows) == sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
+    assert all(r.size == len((r.text or "").encode()) + 16 and r.size_input == "x" for r in rows)
+    assert sharding.sharded(empty(spark)).count() == 0
