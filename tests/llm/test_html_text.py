@@ -1,3 +1,6 @@
+import time
+import tracemalloc
+
 import pytest
 
 from plumbline.llm import html_text
@@ -51,3 +54,30 @@ def test_awkward_tables(spark):
     out = html_text.main_text(spark.createDataFrame([(*r, "", "", "", "") for r in rows], PAGES)).collect()
     assert len(out) == 6 and all(r.text is not None and r.n_chars == len(r.text) for r in out)
     assert {r.page_id: r.text for r in out}[4] == "deep"
+
+
+def test_a_word_of_the_layout_is_no_furniture():
+    assert text(f"<div class='sidebar-layout'><article><p>{LONG}</p></article><div class='related-box'><p>Read on</p></div></div>") == LONG
+    assert text(f"<div class='search-page'><div class=form><h1>T</h1><p>{LONG}</p></div><aside>no</aside></div>") == f"T\n{LONG}"
+    assert text(f"<article><p>{LONG}</p></article><div class='related-box'><h1>More</h1><p>Read on</p></div>") == LONG
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.time()
+    for page in ("<title>" * 300_000, "<svg>" * 300_000, "<script>" * 300_000, "<!--" * 300_000, "<a " * 300_000, "<a x=\">\" " * 200_000, "<!x" * 300_000, "<" * 500_000, "<section>" * 50_000 + "</div>" * 50_000, "<section>" * 50_000 + "<td><tr>" * 50_000, "&" * 500_000, "<p title='" * 100_000, "<a b=\">" * 100_000 + "<p>x</p>"):
+        text(page)
+    assert text("<div><p>word word</p>" * 50_000).count("\n") > 49_900
+    assert time.time() - began < 60
+
+
+def test_deep_pages_take_little_memory():
+    tracemalloc.start()
+    assert text("<div>" * 200_000 + "deep") == "deep"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_an_end_that_never_comes_keeps_the_text():
+    assert text("<p>a<title>b<p>c") == "ab\nc"
+    assert text("<p>x</p><a href=\"y>z</p><p>end") == "x\nz\nend"
