@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 import pytest
 
@@ -42,6 +43,9 @@ def kinds(text):
         ("-----BEGIN RSA PRIVATE KEY-----\n" + b64(RSA) + "\n-----END RSA PRIVATE KEY-----", ["pem"]),
         ("-----BEGIN RSA PRIVATE KEY-----\n" + b64(b"no key" * 20) + "\n-----END RSA PRIVATE KEY-----", []),
         ("-----BEGIN OPENSSH PRIVATE KEY-----\n" + b64(SSH) + "\n-----END OPENSSH PRIVATE KEY-----", ["pem"]),
+        ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n" + b64(b"\x81cipher!" * 8) + "\n-----END RSA PRIVATE KEY-----", ["pem"]),
+        ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n" + b64(b"\x81cipher!" * 8 + b"x") + "\n-----END RSA PRIVATE KEY-----", []),
+        ("eyJx." + jwt({"alg": "HS256"}), ["jwt"]),
         ("key " + b64(RSA), ["key"]),
         ("key " + b64(EC, True), ["key"]),
         ("key " + b64(RSA[:-1]), []),
@@ -85,3 +89,14 @@ def test_offsets_are_code_points(spark):
 def test_awkward_tables(spark):
     assert scan.secret_scan(empty(spark)).count() == 0
     assert scan.secret_scan(awkward(spark)).count() == 10
+
+
+def test_hostile_texts_neither_fail_nor_stall():
+    began = time.time()
+    deep = jwt({"alg": "HS256"}).split(".")
+    assert kinds(".".join((deep[0], b64(b"[" * 200_000, True).rstrip("="), deep[2]))) == []
+    for text in (b"eyJ" * 1_000_000, b"eyJ." * 500_000, b"eyJx.eyJ" * 300_000, b"-----BEGIN PRIVATE KEY-----" * 50_000, b"password" * 400_000, b"token:" + b" " * 1_000_000, base64.b64encode(der(0x30, b"\x05\x00" * 1_000_000))):
+        scan.find_secrets(text)
+    many = "\n".join("-----BEGIN RSA PRIVATE KEY-----\n" + b64(RSA) + "\n-----END RSA PRIVATE KEY-----" for _ in range(2000))
+    assert kinds(many) == ["pem"] * 2000
+    assert time.time() - began < 40
