@@ -11,7 +11,7 @@ AUTOMATA = [licenses.Automaton(*x) for x in licenses.TEMPLATES]
 
 def labels(text):
     _, places, spans = licenses.scan_text(text.encode(), AUTOMATA, licenses.BASE_PHRASES)
-    return sorted({x[0] for x in spans}), len(places)
+    return sorted({x[0] for x in spans}), sum(map(len, places.values()))
 
 
 MIT = next(t for label, t in licenses.TEMPLATES if label == "mit")
@@ -72,3 +72,50 @@ def test_base_equals_brute_force(spark):
 def test_awkward_tables(spark):
     assert licenses.license_scan(empty(spark)).count() == 0
     assert licenses.license_scan(awkward(spark)).count() == 10
+
+
+def test_the_longest_accepted_template_stands():
+    three = re.sub(r"<<opt>>(\d)<<end>>", r"\1", next(t for label, t in licenses.TEMPLATES if label == "bsd-3-clause")).replace("<<var 12>>", "the owner")
+    assert labels(three)[0] == ["bsd-3-clause"]
+    assert labels(three[: three.index(" 3 neither")])[0] == ["bsd-2-clause"]
+    assert licenses.outermost([("a", 0, 9), ("b", 2, 5), ("c", 2, 9), ("d", 8, 12), ("e", 0, 9)]) == [("a", 0, 9), ("e", 0, 9), ("d", 8, 12)]
+
+
+def brute_matches(template, words):
+    """All places that a template accepts, by a regular expression over the words."""
+    pattern, depth = "", 0
+    for part in re.findall(r"<<[^>]*>>|[^\s<>]+", template):
+        if part == "<<opt>>":
+            pattern += "(?:"
+        elif part == "<<end>>":
+            pattern += ")?"
+        elif part.startswith("<<var "):
+            pattern += "(?:\\S+ ){0," + part[6:-2] + "}"
+        elif part.startswith("<<"):
+            pattern += "(?:" + part[2:-2] + ") "
+        else:
+            pattern += part + " "
+    return bool(re.search("(?:^| )" + pattern, " ".join(words) + " "))
+
+
+def test_automata_accept_like_regular_expressions():
+    import random
+
+    rng = random.Random(3)
+    templates = ["a b <<opt>>c <<opt>>d<<end>><<end>> <<x|y>> a", "<<opt>>a<<end>> b c <<var 2>> d", "<<opt>><<x|y>><<end>> a a b <<opt>>c<<end>>"]
+    for _ in range(3000):
+        words = rng.choices("abcdxy", k=rng.randint(0, 9))
+        for t in templates:
+            one = licenses.Automaton("l", t)
+            raw = [w.encode() for w in words]
+            assert bool(list(one.matches(raw, b" " + b" ".join(raw) + b" "))) == brute_matches(t, words)
+
+
+def test_time_is_linear_in_repeats():
+    import time
+
+    began = time.time()
+    n, places, spans = licenses.scan_text(b"cc by nc " * 1_000_000, AUTOMATA, licenses.BASE_PHRASES)
+    assert n == 3_000_000 and len(places["cc by nc"]) == 1_000_000 and not spans
+    licenses.scan_text(b"permission is hereby granted free of charge " * 100_000, AUTOMATA, licenses.BASE_PHRASES)
+    assert time.time() - began < 30
