@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.plans.runtime import cut
+
 from .arrow import slices, texts
 from .columns import columns, fresh
 
@@ -129,7 +131,8 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     pieces = chunks(docs.withColumn("row", _row_key(docs)))
     held = pieces.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "nth")).alias("first"), F.count("*").alias("n"))
-    repeated = held.where("n > 1").select("hi", "lo", F.col("first.doc_id").alias("first_doc_id"), F.struct("first.row", "first.nth").alias("home"))
+    # written first, so that the join reads its large side straight from a shuffle, and a hot digest's part of it can be split
+    repeated = cut(held.where("n > 1").select("hi", "lo", F.col("first.doc_id").alias("first_doc_id"), F.struct("first.row", "first.nth").alias("home")))
     found = pieces.join(repeated, ["hi", "lo"]).withColumn("is_home", (F.col("row") == F.col("home.row")) & (F.col("nth") == F.col("home.nth")) & F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
     gathered = found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(F.struct("nth", "start", "stop", "first_word", "end_word", "first_doc_id", "is_home"))).alias("pieces"))
     # places in ``pieces`` where a run of neighbours begins, and the end of the last; then the same within a kept run, for parts
