@@ -482,11 +482,11 @@ def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ACTIONS = _FANS + f"""
 , e2 as (select *, {_LAYER.format('fp')} as f, {_LAYER.format('tp')} as t from edges),
 act as (
- select 'circular' as category, 'Break circular dependency in ' || regexp_extract(dir_a, '[^/]*$') as title, regexp_extract(dir_a, '[^/]*$') || ' → ' || regexp_extract(dir_b, '[^/]*$') || ' → ' || regexp_extract(dir_a, '[^/]*$') as detail,
-        'Break the cycle at the weakest link: ' || weakest_link as action, cast(greatest(1, break_cost) as bigint) as cost, severity * 2 as impact, severity * 2 / greatest(1, break_cost) as roi from risk where is_circular
- union all select 'layer', 'Layer violation: ' || ['top', 'middle', 'low'][f + 1] || ' → ' || ['top', 'middle', 'low'][t + 1], fp || ':' || line, 'Remove this import or move shared code into a lower layer than ' || ['top', 'middle', 'low'][f + 1], 1, 5.0e0, 5.0e0 from e2 where t < f
- union all select 'rule', 'Rule violation: ' || m, fp || ':' || line || ' → ' || tp, m, 1, 3.0e0, 3.0e0 from (select *, 'Forbidden dependency: Brand#2/** -> Brand#3/**' as m from edges where fp like 'Brand#2/%' and tp like 'Brand#3/%' union all select *, 'no promotions here' from edges where fp like 'Brand#4/%' and tp like '%/PROMO/%')
- union all select 'hotspot', 'Review hotspot: ' || regexp_extract(path, '[^/]*$'), fan_in || ' dependents, blast radius 0', 'Stabilize via interface/abstraction; any change ripples widely', fan_in, cast(fan_in as double), fan_in / 100.0e0
+ select 'circular' as category, 'Untangle the loop at ' || regexp_extract(dir_a, '[^/]*$') as title, regexp_extract(dir_a, '[^/]*$') || ' → ' || regexp_extract(dir_b, '[^/]*$') || ' → ' || regexp_extract(dir_a, '[^/]*$') as detail,
+        'Cut its thinnest hop: ' || weakest_link as action, cast(greatest(1, break_cost) as bigint) as cost, severity * 2 as impact, severity * 2 / greatest(1, break_cost) as roi from risk where is_circular
+ union all select 'layer', 'Import against the layers: ' || ['top', 'middle', 'low'][f + 1] || ' → ' || ['top', 'middle', 'low'][t + 1], fp || ':' || line, 'Drop the import, or keep what both sides need below ' || ['top', 'middle', 'low'][f + 1], 1, 5.0e0, 5.0e0 from e2 where t < f
+ union all select 'rule', 'Rule broken: ' || m, fp || ':' || line || ' → ' || tp, m, 1, 3.0e0, 3.0e0 from (select *, 'Forbidden dependency: Brand#2/** -> Brand#3/**' as m from edges where fp like 'Brand#2/%' and tp like 'Brand#3/%' union all select *, 'no promotions here' from edges where fp like 'Brand#4/%' and tp like '%/PROMO/%')
+ union all select 'hotspot', 'Look over ' || regexp_extract(path, '[^/]*$'), fan_in || ' users, reached by 0', 'Put an interface in front of it: many files change with it', fan_in, cast(fan_in as double), fan_in / 100.0e0
    from (select *, row_number() over (order by fan_in desc, path) as n from fans where fan_in >= 10) where n <= 3)
 """
 
