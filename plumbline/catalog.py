@@ -7,13 +7,16 @@ can't follow, a query has none and is tested against brute force.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.paths import dir_depth, parent_dir, top_level
+from plumbline.functions.paths import camel_to_snake, common_ancestor, dir_depth, effort, parent_dir, relative_label, strip_prefix, top_level
 from plumbline.operators import actions, coupling, history, imports, metrics, reach, rollup, rules, scoring
 from plumbline.plans import audit as audits
+from plumbline.plans import monorepo
+from plumbline.plans.runtime import cut
 from plumbline.plans.settings import Layer, ModuleConfig, Rule, Settings
 from plumbline.sources import graph as graphs
 from plumbline.sources import rendered
@@ -280,15 +283,6 @@ def cross_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(rules.cross_module_violations(_load(spark, sf_dir).edges(), MONOREPO).drop("snapshot_id"), "line_number")
 
 
-def module_graph(g: graphs.Graph) -> graphs.Graph:
-    """The graph with each configured module as a snapshot of its own; what lies between modules is left out."""
-    mods = rules.with_module(g.modules, "path", MONOREPO, "name").where("name is not null")
-    own = mods.select(F.col("name").alias("snapshot_id"), "id", "path")
-    ids = own.select(F.col("snapshot_id").alias("_s"), "id")
-    deps = g.deps.drop("snapshot_id").join(ids.withColumnRenamed("id", "from_id").withColumnRenamed("_s", "snapshot_id"), "from_id").join(ids.withColumnRenamed("id", "to_id"), "to_id").where("snapshot_id = _s")
-    return graphs.Graph(own, deps.select("snapshot_id", "from_id", "to_id", "line_number"))
-
-
 @query(_sql_graph() + _CROSS + f"""
 , mm as (select {_MODULE.format('path')} as name, count(*) as n from mods where {_MODULE.format('path')} is not null group by 1),
 inner_ as (select f as name, fd, td, count(*) as w from e where f = t and fd <> td group by all),
@@ -296,12 +290,7 @@ mutual as (select x.name, count(*) as c from inner_ x join inner_ y on x.name =
 s as (select name, n, greatest(0.0e0, 100.0e0 * (1.0e0 - (coalesce((select sum(w / 3.0e0) from inner_ i where i.name = mm.name), 0) + coalesce((select c * (n / 3.0e0 / 10.0e0) from mutual u where u.name = mm.name), 0)) / n)) as score from mm)
 select name, cast(n as bigint) as files, round(score, 6) as score, round(greatest(0.0e0, (select sum(score * n) / sum(n) from s) - 100.0e0 * (select count(*) from cross_) / (select sum(n) from mm)), 6) as overall from s""")
 def monorepo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _load(spark, sf_dir)
-    own = module_graph(g)
-    scores = scoring.severity_score(audits.raw_violations(own), own.modules)
-    crossings = rules.cross_module_violations(g.edges(), MONOREPO).agg(F.count("*").alias("_x"))
-    whole = scores.agg((F.sum(F.col("severity_score") * F.col("n_modules")) / F.sum("n_modules")).alias("_s"), F.sum("n_modules").alias("_n")).join(crossings).select(F.greatest(F.lit(0.0), F.col("_s") - 100.0 * F.col("_x") / F.col("_n")).alias("overall"))
-    return _rounded(scores.join(F.broadcast(whole)).select(F.col("snapshot_id").alias("name"), F.col("n_modules").alias("files"), F.col("severity_score").alias("score"), "overall"), "score", "overall")
+    return _rounded(monorepo.audit_modules(_load(spark, sf_dir), MONOREPO)[0].drop("violations"), "score", "overall")
 
 
 @query(_sql_graph() + """
@@ -480,32 +469,34 @@ def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ACTIONS = _FANS + f"""
-, e2 as (select *, {_LAYER.format('fp')} as f, {_LAYER.format('tp')} as t from edges),
+, hot as (select path, fan_in from fans where fan_in >= 10 qualify row_number() over (order by fan_in desc, path) <= 3),
+users as materialized (select distinct fp, tp from edges),
+above as (select path, path as src from hot union select a.path, u.fp from above a join users u on u.tp = a.src),
+e2 as (select *, {_LAYER.format('fp')} as f, {_LAYER.format('tp')} as t from edges),
 act as (
  select 'circular' as category, 'Untangle the loop at ' || regexp_extract(dir_a, '[^/]*$') as title, regexp_extract(dir_a, '[^/]*$') || ' → ' || regexp_extract(dir_b, '[^/]*$') || ' → ' || regexp_extract(dir_a, '[^/]*$') as detail,
         'Cut its thinnest hop: ' || weakest_link as action, cast(greatest(1, break_cost) as bigint) as cost, severity * 2 as impact, severity * 2 / greatest(1, break_cost) as roi from risk where is_circular
  union all select 'layer', 'Import against the layers: ' || ['top', 'middle', 'low'][f + 1] || ' → ' || ['top', 'middle', 'low'][t + 1], fp || ':' || line, 'Drop the import, or keep what both sides need below ' || ['top', 'middle', 'low'][f + 1], 1, 5.0e0, 5.0e0 from e2 where t < f
  union all select 'rule', 'Rule broken: ' || m, fp || ':' || line || ' → ' || tp, m, 1, 3.0e0, 3.0e0 from (select *, 'Forbidden dependency: Brand#2/** -> Brand#3/**' as m from edges where fp like 'Brand#2/%' and tp like 'Brand#3/%' union all select *, 'no promotions here' from edges where fp like 'Brand#4/%' and tp like '%/PROMO/%')
- union all select 'hotspot', 'Look over ' || regexp_extract(path, '[^/]*$'), fan_in || ' users, reached by 0', 'Put an interface in front of it: many files change with it', fan_in, cast(fan_in as double), fan_in / 100.0e0
-   from (select *, row_number() over (order by fan_in desc, path) as n from fans where fan_in >= 10) where n <= 3)
+ union all select 'hotspot', 'Look over ' || regexp_extract(path, '[^/]*$'), fan_in || ' users, reached by ' || (select count(*) - 1 from above a where a.path = hot.path), 'Put an interface in front of it: many files change with it', fan_in, cast(fan_in as double), fan_in / 100.0e0 from hot)
 """
 
 
-def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All actions over the whole graph, whose radius is left out: it is dense, and everything reaches everything."""
-    a = _audit(spark, sf_dir)
-    radius = a.graph.modules.select("snapshot_id", "path", F.lit(0).cast("long").alias("blast_radius"))
-    return actions.all_actions(a.violations, rules.layer_violations(a.edges, LAYERS), rules.rule_violations(a.edges, RULES), a.fans(), radius)
+def _actions(a: audits.Audit) -> DataFrame:
+    """All actions of an audit; the search for a radius starts from the three hotspots alone."""
+    fans = cut(a.fans())
+    radius = reach.radius_of(a.edges, actions.hotspots(fans))
+    return actions.all_actions(a.violations, rules.layer_violations(a.edges, LAYERS), rules.rule_violations(a.edges, RULES), fans, radius)
 
 
 @query(_sql_graph() + _ACTIONS + "select category, title, detail, action, cost, round(impact, 6) as impact, round(roi, 6) as roi from act order by act.roi desc, category, title, detail, action limit 10")
 def top_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(actions.top(_actions(spark, sf_dir), 10).drop("snapshot_id"), "impact", "roi")
+    return _rounded(actions.top(_actions(_audit(spark, sf_dir)), 10).drop("snapshot_id"), "impact", "roi")
 
 
 @query(_sql_graph() + _ACTIONS + "select category, title, detail, cost, round(impact, 6) as impact from act order by cost, act.impact desc, category, title, detail, action limit 5")
 def quick_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(actions.quick_wins(_actions(spark, sf_dir)).select("category", "title", "detail", "cost", "impact"), "impact")
+    return _rounded(actions.quick_wins(_actions(_audit(spark, sf_dir))).select("category", "title", "detail", "cost", "impact"), "impact")
 
 
 @query(_sql_graph() + """
@@ -564,3 +555,90 @@ select case when is_circular then 'circular-dependency' else 'sibling-coupling'
        case when is_circular then 'Circular dependency: ' || dir_a || ' -> ' || dir_b || ' -> ' || dir_a else 'Sibling coupling: ' || dir_a || ' -> ' || dir_b end as message from risk""")
 def sonar_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.sonar_issues(_audit(spark, sf_dir).violations).drop("snapshot_id")
+
+
+@query(r"""
+with b as (select p_brand as snapshot_id, 'src/main/' || p_brand || '/' || p_type || '/P' || p_partkey || '.kt' as path from part
+           union all select substr(p_brand, 1, 7) || '*', 'src/main/' || p_brand || '/' || p_type || '/P' || p_partkey || '.kt' from part),
+d as (select *, string_split(path, '/')[:-2] as dirs, regexp_extract(path, '^(.*)/', 1) as own from b),
+n as (select snapshot_id, count(*) as n, min(path) as one from d group by snapshot_id),
+k as (select snapshot_id, k, count(distinct dirs[:k]) as kinds, count(*) as c, min(dirs[:k]) as here from d, range(1, 5) r(k) where len(dirs) >= k group by all),
+deep as (select snapshot_id, max_by(here, k) as here from k join n using (snapshot_id) where kinds = 1 and c = n group by snapshot_id),
+t as (select n.snapshot_id, array_to_string(string_split(one, '/')[:i], '/') as x from n, range(0, 5) r(i) where i < len(string_split(one, '/'))),
+begins as (select snapshot_id, x from t join d using (snapshot_id) group by all having bool_and(starts_with(own, x)))
+select snapshot_id, array_to_string(here, '/') as common, array_to_string(here[:greatest(1, len(here) - 1)], '/') as above, max_by(x, length(x)) as textual from deep join begins using (snapshot_id) group by snapshot_id, here""")
+def common_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directories that brands share, each by itself and by their names' first seven letters."""
+    paths = _load(spark, sf_dir).modules.select(top_level(F.col("path")).alias("brand"), F.concat(F.lit("src/main/"), "path").alias("path"))
+    families = paths.select(F.concat(F.substring("brand", 1, 7), F.lit("*")).alias("snapshot_id"), "path")
+    return rollup.common_roots(paths.withColumnRenamed("brand", "snapshot_id").unionByName(families))
+
+
+@query("""
+with p as (select l_orderkey, p_brand as b, p_brand || '/' || p_type as d from lineitem join part on p_partkey = l_partkey)
+select l_orderkey, case when count(distinct d) = 1 then min(d) when count(distinct b) = 1 then min(b) else '' end as ancestor from p group by l_orderkey""")
+def order_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory that holds all parts of an order; an order has a handful of lines."""
+    modules = _load(spark, sf_dir).modules.select(F.col("id").alias("l_partkey"), "path")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    return lines.join(modules, "l_partkey").groupBy("l_orderkey").agg(common_ancestor(F.collect_set("path")).alias("ancestor"))
+
+
+@query("""
+select p_partkey as id, replace(lower(p_name), ' ', '_') as snake, case when p_size <= 1 then 'trivial' when p_size <= 5 then 'small' when p_size <= 20 then 'medium' when p_size <= 50 then 'large' else 'very large' end as effort,
+       p_type || '/P' || p_partkey as stripped, p_type || ': P' || p_partkey as below, 'P' || p_partkey as here, p_brand || '/' || p_type || ': P' || p_partkey as elsewhere from part""")
+def path_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and places of the files as reports write them."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    path = F.concat_ws("/", "p_brand", "p_type", F.concat(F.lit("P"), F.col("p_partkey").cast("string")))
+    brand, directory = F.col("p_brand"), F.concat_ws("/", "p_brand", "p_type")
+    return parts.select(F.col("p_partkey").alias("id"), camel_to_snake(F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))).alias("snake"), effort(F.col("p_size")).alias("effort"), strip_prefix(path, brand).alias("stripped"), relative_label(path, brand).alias("below"), relative_label(path, directory).alias("here"), relative_label(path, F.lit("no/such")).alias("elsewhere"))
+
+
+@query(_sql_graph(by_year=True) + """
+, told_hops as (select snapshot_id, parent, path, unnest(path[:-2]) as dir_a, unnest(path[2:]) as dir_b, generate_subscripts(path[:-2], 1) - 1 as n from closed),
+h as (select snapshot_id, parent, dir_a || '>' || dir_b || '>' || dir_a as cycle_path, 0 as n, one_ab[1] as f, one_ab[2] as t, ab as c from circ
+      union all select snapshot_id, parent, dir_a || '>' || dir_b || '>' || dir_a, 1, one_ba[1], one_ba[2], ba from circ
+      union all select snapshot_id, parent, list_aggregate(path, 'string_agg', '>'), n, one[1], one[2], weight from told_hops join pairs using (snapshot_id, parent, dir_a, dir_b)),
+placed as (select *, k as depth, array_to_string(string_split(f, '/')[:k], '/') as x, array_to_string(string_split(t, '/')[:k], '/') as y, case when k = 1 then '' else split_part(f, '/', 1) end as directory from h, range(1, 3) r(k) where k = 1 or split_part(f, '/', 1) = split_part(t, '/', 1)),
+w as (select *, row_number() over (partition by snapshot_id, depth, directory, parent, cycle_path order by c, n) = 1 as weakest from placed where x <> y)
+select snapshot_id, cast(depth as bigint) as depth, directory, cycle_path, string_agg(x || '>' || y || ':' || c || case when weakest then '*' else '' end, ',' order by n) as hops from w group by snapshot_id, depth, directory, parent, cycle_path having count(*) >= 2""")
+def level_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, v = _raw(spark, sf_dir, by_year=True)
+    hop = F.transform("hops", lambda h: F.concat(h["from"], F.lit(">"), h["to"], F.lit(":"), h["imports"].cast("string"), F.when(h["weakest"], "*").otherwise("")))
+    levels = (rollup.level_cycles(v, k).select("snapshot_id", F.lit(k).cast("long").alias("depth"), "directory", F.array_join("cycle_path", ">").alias("cycle_path"), F.array_join(hop, ",").alias("hops")) for k in (1, 2))
+    return reduce(DataFrame.unionByName, levels)
+
+
+@query(_sql_graph() + """
+, r as (select parent, dir_a, dir_b, severity, row_number() over (partition by parent order by severity desc, dir_a, dir_b) as place from risk where not is_circular)
+select parent, dir_a, dir_b, severity, cast(place as bigint) as place, place <= 5 as promoted from r""")
+def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _longs(rollup.promoted(_audit(spark, sf_dir).violations).drop("snapshot_id"), "place")
+
+
+@query(_sql_graph(by_year=True) + """
+, c as (select snapshot_id, dir_a, dir_b from risk where is_circular), b as (select c.*, (select count(*) from c x where x.snapshot_id = c.snapshot_id and x.dir_a = c.dir_a and x.dir_b = c.dir_b) as there,
+      (select count(*) from c x where x.snapshot_id = c.snapshot_id and x.dir_a = c.dir_b and x.dir_b = c.dir_a) as back from c)
+select snapshot_id, dir_a, dir_b, case when there < back then dir_a when there > back then dir_b end as wrong_from, case when there < back then dir_b when there > back then dir_a end as wrong_to from b""")
+def direction_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.direction_hints(_audit(spark, sf_dir, by_year=True).violations)
+
+
+@query(_sql_graph(by_year=True) + """
+select snapshot_id, cast(count(is_circular) as bigint) as violations, cast(count(*) filter (is_circular) as bigint) as circular, cast(count(*) filter (not is_circular) as bigint) as coupled, cast(count(*) filter (severity >= 0.5) as bigint) as critical
+from n_mods left join risk using (snapshot_id) group by snapshot_id""")
+def violation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _audit(spark, sf_dir, by_year=True)
+    return rollup.violation_types(a.violations, a.graph.modules)
+
+
+@query(_sql_graph() + _ACTIONS + """
+, v as (select split_part(dir_a, '/', 1) as module, sum(severity) as s from risk group by 1), n as (select brand as module, count(*) as n from mods group by 1),
+whole as (select sum(n * greatest(0.0e0, 100.0e0 * (1.0e0 - coalesce(s, 0) / n))) / sum(n) as score, sum(n) as files from n left join v using (module)),
+gain as (select coalesce(sum(impact), 0.0e0) as g from (select act.impact from act where category <> 'hotspot' order by act.impact desc limit 3))
+select round(score, 6) as score, cast(files as bigint) as files, round(greatest(score, least(100.0e0, score + g)), 6) as projected from whole, gain""")
+def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _audit(spark, sf_dir)
+    card = rollup.scorecard(a.graph.modules, a.violations, metrics.independence(a.edges, a.graph.modules), a.fans())
+    return _rounded(actions.projected(rollup.weighted_score(card), _actions(a)).drop("snapshot_id"), "score", "projected")

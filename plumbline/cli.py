@@ -17,8 +17,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import history, imports, rollup, rules, scoring
+from plumbline.operators import history, imports, rollup, scoring
 from plumbline.plans import audit as audits
+from plumbline.plans import monorepo
 from plumbline.plans.runtime import cut
 from plumbline.plans.settings import Settings
 from plumbline.sinks import reports
@@ -48,7 +49,7 @@ def load(spark: SparkSession, store: str) -> tuple[Graph, DataFrame]:
     """All snapshots of a store as one graph, and the table of snapshots."""
     modules = spark.read.schema(files.MODULES).parquet(f"{store}/modules").select("snapshot_id", "id", "path")
     deps = spark.read.schema(files.DEPENDENCIES).parquet(f"{store}/dependencies").select("snapshot_id", F.col("from_module_id").alias("from_id"), F.col("to_module_id").alias("to_id"), "line_number")
-    return Graph(modules, deps), spark.read.schema(files.SNAPSHOTS).parquet(f"{store}/snapshots")
+    return Graph(modules, deps), files.read_snapshots(spark, store)
 
 
 def only(graph: Graph, snapshot_id: str, module: str | None = None) -> Graph:
@@ -124,7 +125,7 @@ def main(argv: list[str] | None = None) -> int:
         scan(spark, os.path.abspath(args.root), args.store, settings, args.snapshot or datetime.datetime.now().strftime("%Y%m%dT%H%M%S%f"), args.diff_base)
         return 0
     graph, snapshots = load(spark, args.store)
-    newest = snapshots.orderBy(F.col("snap_seq").desc()).first()
+    newest = files.latest_snapshot(snapshots)
     snapshot_id = args.snapshot or newest["id"]
     order = snapshots.select(F.col("id").alias("snapshot_id"), "snap_seq")
     if args.verb == "trend":
@@ -149,8 +150,7 @@ def main(argv: list[str] | None = None) -> int:
     summary = reports.summarise(audit, snapshot_id, spark.read.schema(files.EXTERNAL).parquet(f"{args.store}/external"))
     if args.verb == "audit":
         if settings.modules:
-            crossings = rules.cross_module_violations(one.edges(), settings.modules).count()
-            print(f"{len(settings.modules)} modules, {crossings} imports between them that are not declared")
+            print(reports.to_monorepo_text(*monorepo.audit_modules(one, settings.modules)))
         print(reports.to_text(summary))
         try:
             reports.gate(summary.scores.score, args.fail_below, new, args.fail_on_new)

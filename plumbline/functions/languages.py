@@ -10,7 +10,8 @@ pure functions of one statement or file, so they run on executors without state.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 Found = list[tuple[str, int]]
 #: Language of each source extension. Fixed values.
@@ -126,6 +127,25 @@ _PARSERS: dict[str, Callable[[str], Found]] = {
 }
 
 
+@dataclass(frozen=True)
+class Adapter:
+    """A further language, or another reading of a known one, for ``imports.extract`` and ``imports.scan``.
+
+    ``parse`` takes a source text and gives (import, line); ``candidates`` takes
+    an import and the file it stands in and gives (how, text). Both travel to
+    the executors with the job, so nothing has to be registered there.
+    """
+
+    extensions: tuple[str, ...]
+    parse: Callable[[str], Found]
+    candidates: Callable[[str, str], list[tuple[str, str]]]
+
+
+def adapters_by_extension(adapters: Iterable[Adapter]) -> dict[str, Adapter]:
+    """The adapter of each extension, the last one if several claim it."""
+    return {e: a for a in adapters for e in a.extensions}
+
+
 def parse(extension: str, source: str) -> Found:
     """(import, line) of each import statement of a file, in order; nothing for unknown extensions."""
     language = LANGUAGE_OF.get(extension)

@@ -54,6 +54,21 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.array_join(F.slice(pa, 1, common_length(pa, pb)), "/")
 
 
+def common_ancestor(paths: Column) -> Column:
+    """The deepest directory that holds every file of an array; empty at the root and for an empty array."""
+    dirs = F.transform(paths, dir_parts)
+    rest = F.slice(dirs, 2, F.greatest(F.size(dirs) - 1, F.lit(0)))
+    shared = F.aggregate(rest, F.get(dirs, F.lit(0)), lambda acc, d: F.slice(acc, 1, common_length(acc, d)))
+    return F.coalesce(F.array_join(shared, "/"), F.lit(""))
+
+
+def relative_label(path: Column, directory: Column) -> Column:
+    """A file as the page of ``directory`` names it: its place below (or its whole directory, if it lies elsewhere), a colon and its name."""
+    own = parent_dir(path)
+    below = F.when(own == directory, "").otherwise(strip_prefix(own, directory))
+    return F.when(below == "", base_name(path)).otherwise(F.concat(below, F.lit(": "), base_name(path)))
+
+
 def strip_prefix(path: Column, prefix: Column) -> Column:
     inside = path.startswith(F.concat(prefix, F.lit("/")))
     return F.when((prefix != "") & inside, F.substr(path, F.length(prefix) + 2)).otherwise(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,16 +15,22 @@ MARKER = "plumbline:ignore"
 _IMPORTS = "path string, import_path string, line_number int, tries array<struct<how:string,text:string>>"
 
 
-def extract(sources: DataFrame) -> DataFrame:
-    """(path, import_path, line_number, tries) of each import statement of ``sources`` (path, text); null texts have none."""
+def extract(sources: DataFrame, adapters: Iterable[languages.Adapter] = ()) -> DataFrame:
+    """(path, import_path, line_number, tries) of each import statement of ``sources`` (path, text); null texts have none.
+
+    ``adapters`` come before the languages that are built in.
+    """
+    further = languages.adapters_by_extension(adapters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for path, text in zip(pdf["path"], pdf["text"]):
                 extension = path.rpartition(".")[2]
-                for name, line in languages.parse(extension, text or ""):
-                    out.append((path, name, line, [{"how": h, "text": t} for h, t in languages.candidates(extension, name, path)]))
+                own = further.get(extension)
+                for name, line in own.parse(text or "") if own else languages.parse(extension, text or ""):
+                    tries = own.candidates(name, path) if own else languages.candidates(extension, name, path)
+                    out.append((path, name, line, [{"how": h, "text": t} for h, t in tries]))
             yield pd.DataFrame(out, columns=["path", "import_path", "line_number", "tries"])
 
     return sources.select("path", "text").mapInPandas(run, _IMPORTS)
@@ -73,14 +79,14 @@ def resolve(imports: DataFrame, known: DataFrame) -> DataFrame:
     return imports.join(best.select("path", "import_path", "line_number", F.col("_b.to_path").alias("to_path")), ["path", "import_path", "line_number"], "left")
 
 
-def scan(sources: DataFrame, allow_suppression: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan(sources: DataFrame, allow_suppression: bool = True, adapters: Iterable[languages.Adapter] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(dependencies, external, suppressed) of ``sources`` (path, text).
 
     Dependencies are distinct (from_path, to_path, line_number); external is
     (path, count) of unresolved imports, one each; suppressed is (path, count)
     of imports on marked lines, which are dropped before resolution.
     """
-    imports = extract(sources)
+    imports = extract(sources, adapters)
     marked = suppressed_lines(sources)
     gone = imports.join(marked, ["path", "line_number"], "left_semi")
     if not allow_suppression:

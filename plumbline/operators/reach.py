@@ -68,6 +68,22 @@ def blast_radius(edges: DataFrame, modules: DataFrame, group_rows: int = 2_000_0
     return modules.select("snapshot_id", "path").join(found, ["snapshot_id", "path"], "left").select("snapshot_id", "path", F.coalesce("blast_radius", F.lit(0)).cast("long").alias("blast_radius"))
 
 
+def radius_of(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """(snapshot_id, path, blast_radius) of the few modules ``of`` (snapshot_id, path): a search from them alone against the imports.
+
+    Each round joins the imports with what the last one found, checkpointed; all
+    that is held is (module of ``of``, one that reaches it).
+    """
+    step = cut(edges.select("snapshot_id", F.col("to_path").alias("mid"), F.col("from_path").alias("src")).where("mid <> src").distinct())
+    known = cut(of.select("snapshot_id", "path", F.col("path").alias("src")).distinct())
+    fresh = known
+    while not fresh.isEmpty():
+        wider = fresh.withColumnRenamed("src", "mid").join(step, ["snapshot_id", "mid"]).select("snapshot_id", "path", "src").distinct()
+        fresh = cut(wider.join(known, ["snapshot_id", "path", "src"], "left_anti"))
+        known = known.unionByName(fresh)
+    return known.groupBy("snapshot_id", "path").agg((F.count("*") - 1).alias("blast_radius"))
+
+
 def reachable_pairs(edges: DataFrame) -> DataFrame:
     """(snapshot_id, src, dst), src other than dst, of all pairs joined by a chain of imports: a semi-naive loop, checkpointed each round."""
     step = edges.select("snapshot_id", F.col("from_path").alias("mid"), F.col("to_path").alias("dst"))

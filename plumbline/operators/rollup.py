@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.paths import ancestors, base_name, common_prefix, parent_dir
+from plumbline.functions.paths import ancestors, base_name, common_length, common_prefix, dir_parts, parent_dir
 
 
 def directory_tree(modules: DataFrame) -> DataFrame:
@@ -14,6 +14,24 @@ def directory_tree(modules: DataFrame) -> DataFrame:
     return dirs.select("snapshot_id", parent_dir("child").alias("directory"), "child").groupBy("snapshot_id", "directory").agg(F.sort_array(F.collect_list("child")).alias("children"))
 
 
+def common_roots(modules: DataFrame) -> DataFrame:
+    """(snapshot_id, common, above, textual): three readings of the directory that all files of a snapshot share.
+
+    ``common`` is the whole of it; ``above`` leaves its last component to be
+    shown if there are several; ``textual`` is the deepest directory above the
+    smallest path whose text begins the directory of every file, be it in the
+    middle of a name (``ab`` for ``ab/x`` and ``abc/y``). What a set of sorted
+    values shares, its least and greatest share, so no snapshot is gathered.
+    """
+    own = parent_dir("path")
+    ends = modules.groupBy("snapshot_id").agg(*(f(x).alias(n) for n, f, x in (("_a", F.min, dir_parts(F.col("path"))), ("_b", F.max, dir_parts(F.col("path"))), ("_s", F.min, own), ("_t", F.max, own), ("_p", F.min, "path"))))
+    shared = F.slice("_a", 1, common_length(F.col("_a"), F.col("_b")))
+    above = F.when(F.size(shared) > 1, F.slice(shared, 1, F.size(shared) - 1)).otherwise(shared)
+    begins = F.filter(F.concat(ancestors("_p"), F.array(F.lit(""))), lambda d: F.col("_s").startswith(d) & F.col("_t").startswith(d))
+    textual = F.aggregate(begins, F.lit(""), lambda best, d: F.when(F.length(d) > F.length(best), d).otherwise(best))
+    return ends.select("snapshot_id", F.array_join(shared, "/").alias("common"), F.array_join(above, "/").alias("above"), textual.alias("textual"))
+
+
 def directory_rollup(modules: DataFrame, violations: DataFrame) -> DataFrame:
     """(snapshot_id, directory, module_count, direct_files, violations, circular, score, has_violations) of every directory.
 
@@ -90,6 +108,46 @@ def level_edges(edges: DataFrame, depth: int) -> DataFrame:
     return met.groupBy("snapshot_id", "from_dir", "to_dir").agg(F.count("*").alias("imports"))
 
 
+def level_cycles(violations: DataFrame, depth: int) -> DataFrame:
+    """(snapshot_id, directory, cycle_path, hops) of the cycles still seen between the entries ``depth`` components deep.
+
+    ``directory`` holds the entries. A hop counts if it joins two entries of one
+    directory; a cycle, if it has two such hops there. ``hops`` are (from, to,
+    imports, weakest) in the cycle's order; the first of fewest imports is the weakest.
+    """
+    def entry(path):
+        p = F.split(path, "/")
+        return F.when(F.size(p) >= depth, F.array_join(F.slice(p, 1, depth), "/"))
+
+    hops = violations.where("is_circular").select("snapshot_id", "parent", "cycle_path", F.posexplode(F.arrays_zip(F.col("cycle_hop_files").alias("files"), F.col("cycle_hop_counts").alias("imports"))).alias("n", "h"))
+    seen = hops.select("snapshot_id", "parent", "cycle_path", "n", entry(F.col("h.files.from")).alias("from"), entry(F.col("h.files.to")).alias("to"), "h.imports").where((F.col("from") != F.col("to")) & (parent_dir("from") == parent_dir("to")))
+    kept = seen.groupBy("snapshot_id", parent_dir("from").alias("directory"), "parent", "cycle_path").agg(F.sort_array(F.collect_list(F.struct("n", "from", "to", "imports"))).alias("_h")).where(F.size("_h") >= 2)
+    weakest = F.array_min(F.transform("_h", lambda h: F.struct(h["imports"], h["n"])))["n"]
+    marked = F.transform("_h", lambda h: F.struct(h["from"].alias("from"), h["to"].alias("to"), h["imports"].alias("imports"), (h["n"] == weakest).alias("weakest")))
+    return kept.select("snapshot_id", "directory", "cycle_path", marked.alias("hops"))
+
+
+def promoted(violations: DataFrame, shown: int = 5) -> DataFrame:
+    """(snapshot_id, parent, dir_a, dir_b, severity, place, promoted): the coupled pairs of each directory, the worst ``shown`` to stand in the open."""
+    worst = Window.partitionBy("snapshot_id", "parent").orderBy(F.col("severity").desc(), "dir_a", "dir_b")
+    return violations.where("not is_circular").select("snapshot_id", "parent", "dir_a", "dir_b", "severity", F.row_number().over(worst).alias("place")).withColumn("promoted", F.col("place") <= shown)
+
+
+def direction_hints(violations: DataFrame) -> DataFrame:
+    """(snapshot_id, dir_a, dir_b, wrong_from, wrong_to) of circular rows: the way that fewer of a snapshot's circular rows run, which is likely the wrong one; null if neither does."""
+    counts = violations.where("is_circular").groupBy("snapshot_id", "dir_a", "dir_b").agg(F.count("*").alias("_n"))
+    back = counts.select("snapshot_id", F.col("dir_b").alias("dir_a"), F.col("dir_a").alias("dir_b"), F.col("_n").alias("_back"))
+    less, more = F.col("_n") < F.coalesce("_back", F.lit(0)), F.col("_n") > F.coalesce("_back", F.lit(0))
+    found = counts.join(back, ["snapshot_id", "dir_a", "dir_b"], "left").select("snapshot_id", "dir_a", "dir_b", F.when(less, F.col("dir_a")).when(more, F.col("dir_b")).alias("wrong_from"), F.when(less, F.col("dir_b")).when(more, F.col("dir_a")).alias("wrong_to"))
+    return violations.where("is_circular").select("snapshot_id", "dir_a", "dir_b").join(found, ["snapshot_id", "dir_a", "dir_b"])
+
+
+def violation_types(violations: DataFrame, modules: DataFrame, critical: float = 0.5) -> DataFrame:
+    """(snapshot_id, violations, circular, coupled, critical) of every snapshot, those without violations too."""
+    counts = violations.groupBy("snapshot_id").agg(F.count("*").alias("violations"), F.count_if("is_circular").alias("circular"), F.count_if(~F.col("is_circular")).alias("coupled"), F.count_if(F.col("severity") >= critical).alias("critical"))
+    return modules.select("snapshot_id").distinct().join(counts, "snapshot_id", "left").na.fill(0)
+
+
 def directory_graph(violations: DataFrame) -> DataFrame:
     """(snapshot_id, source, target, violations, circular) between short directory names; each hop of a cycle counts once."""
     pairs = violations.where("not is_circular").select("snapshot_id", base_name("dir_a").alias("source"), base_name("dir_b").alias("target"), F.lit(False).alias("c"))

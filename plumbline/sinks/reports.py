@@ -148,6 +148,17 @@ def to_text(s: Summary) -> str:
     return "\n".join(out)
 
 
+def to_monorepo_text(scores: DataFrame, crossings: DataFrame) -> str:
+    """The modules of a monorepo with their scores, and the first of the imports that aren't declared; see ``monorepo.audit_modules``."""
+    each = scores.orderBy("name").collect()
+    out = [f"Overall score {each[0].overall if each else 100.0:.1f}  ({sum(r.files for r in each)} files in {len(each)} modules)", ""]
+    out += [f"  {r.name:<20} {r.score:6.1f} {r.files:8d} files {r.violations:8d} violations" for r in each]
+    if n := crossings.count():
+        worst = crossings.orderBy("from_name", "to_name", "from_module", "line_number", "to_module").limit(SHOWN).collect()
+        out += ["", f"Imports that are not declared: {n}", *(f"  {r.from_name} -> {r.to_name}  {r.from_module}:{r.line_number} -> {r.to_module}" for r in worst[:20])]
+    return "\n".join(out)
+
+
 def to_xml(s: Summary) -> Iterator[str]:
     attributes = " ".join(f"{k}={quoteattr(str(v))}" for k, v in figures(s).items() if not isinstance(v, list))
     yield f'<?xml version="1.0" encoding="UTF-8"?>\n<audit {attributes}>\n'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.paths import ancestors
@@ -58,6 +58,25 @@ def read_snapshot(spark: SparkSession, store: str, snapshot_id: str) -> tuple[Da
     return tuple(spark.read.schema(schema).parquet(f"{store}/{name}").where(F.col("snapshot_id") == snapshot_id) for name, schema in (("modules", MODULES), ("dependencies", DEPENDENCIES)))
 
 
+def read_snapshots(spark: SparkSession, store: str) -> DataFrame:
+    """The store's table of snapshots, oldest first."""
+    return spark.read.schema(SNAPSHOTS).parquet(f"{store}/snapshots").orderBy("snap_seq", "id")
+
+
+def snapshot_by_id(snapshots: DataFrame, snapshot_id: str) -> Row | None:
+    return snapshots.where(F.col("id") == snapshot_id).first()
+
+
+def latest_snapshot(snapshots: DataFrame) -> Row | None:
+    """The snapshot taken last; None in an empty store."""
+    return snapshots.orderBy(F.col("snap_seq").desc(), F.col("id").desc()).first()
+
+
+def children(modules: DataFrame, snapshot_id: str, parent_id: str | None) -> DataFrame:
+    """The modules of a snapshot right below the module ``parent_id``; for None those that have no parent."""
+    return modules.where((F.col("snapshot_id") == snapshot_id) & F.col("parent_id").eqNullSafe(F.lit(parent_id)))
+
+
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """(fingerprint) of a baseline file; an error if there is none."""
     return spark.read.schema(BASELINE).option("multiLine", True).json(path).select(F.explode("fingerprints").alias("fingerprint"))
