@@ -16,7 +16,7 @@ from plumbline.functions.paths import camel_to_snake, common_ancestor, dir_depth
 from plumbline.operators import actions, coupling, history, imports, metrics, reach, rollup, rules, scoring
 from plumbline.plans import audit as audits
 from plumbline.plans import monorepo
-from plumbline.plans.runtime import cut
+from plumbline.plans.runtime import cut, stored
 from plumbline.plans.settings import Layer, ModuleConfig, Rule, Settings
 from plumbline.sources import graph as graphs
 from plumbline.sources import rendered
@@ -482,6 +482,12 @@ act as (
 """
 
 
+def _stored_audit(spark: SparkSession, sf_dir: str) -> audits.Audit:
+    """The audit over imports that are written once, for queries that read them several times."""
+    g = _load(spark, sf_dir)
+    return audits.audit(g, edges=stored(g.edges()))
+
+
 def _actions(a: audits.Audit) -> DataFrame:
     """All actions of an audit; the search for a radius starts from the three hotspots alone."""
     fans = cut(a.fans())
@@ -491,12 +497,12 @@ def _actions(a: audits.Audit) -> DataFrame:
 
 @query(_sql_graph() + _ACTIONS + "select category, title, detail, action, cost, round(impact, 6) as impact, round(roi, 6) as roi from act order by act.roi desc, category, title, detail, action limit 10")
 def top_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(actions.top(_actions(_audit(spark, sf_dir)), 10).drop("snapshot_id"), "impact", "roi")
+    return _rounded(actions.top(_actions(_stored_audit(spark, sf_dir)), 10).drop("snapshot_id"), "impact", "roi")
 
 
 @query(_sql_graph() + _ACTIONS + "select category, title, detail, cost, round(impact, 6) as impact from act order by cost, act.impact desc, category, title, detail, action limit 5")
 def quick_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(actions.quick_wins(_actions(_audit(spark, sf_dir))).select("category", "title", "detail", "cost", "impact"), "impact")
+    return _rounded(actions.quick_wins(_actions(_stored_audit(spark, sf_dir))).select("category", "title", "detail", "cost", "impact"), "impact")
 
 
 @query(_sql_graph() + """
@@ -639,6 +645,6 @@ whole as (select sum(n * greatest(0.0e0, 100.0e0 * (1.0e0 - coalesce(s, 0) / n))
 gain as (select coalesce(sum(impact), 0.0e0) as g from (select act.impact from act where category <> 'hotspot' order by act.impact desc limit 3))
 select round(score, 6) as score, cast(files as bigint) as files, round(greatest(score, least(100.0e0, score + g)), 6) as projected from whole, gain""")
 def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _audit(spark, sf_dir)
+    a = _stored_audit(spark, sf_dir)
     card = rollup.scorecard(a.graph.modules, a.violations, metrics.independence(a.edges, a.graph.modules), a.fans())
     return _rounded(actions.projected(rollup.weighted_score(card), _actions(a)).drop("snapshot_id"), "score", "projected")

@@ -80,13 +80,14 @@ def raw_violations(graph: Graph, edges: DataFrame | None = None) -> DataFrame:
     return cut(coupling.violations(pairs, graph.modules, cycles))
 
 
-def audit(graph: Graph, settings: Settings | None = None) -> Audit:
+def audit(graph: Graph, settings: Settings | None = None, edges: DataFrame | None = None) -> Audit:
     """Violations, severity filter, coupling mode, risk weights, layer weights and layer filter, in this order.
 
-    With layers the severity score is final, otherwise the risk score.
+    With layers the severity score is final, otherwise the risk score. ``edges``:
+    the graph's, if they have been stored for many questions.
     """
     settings = settings or Settings()
-    edges = graph.edges()
+    edges = graph.edges() if edges is None else edges
     raw = raw_violations(graph, edges)
     kept, metric_rows = scoring.split_actionable(scoring.by_severity(raw, settings.min_severity), settings.coupling_mode)
     kept, metric_rows = (scoring.with_rri(x, settings.risk_weights) for x in (kept, metric_rows))
